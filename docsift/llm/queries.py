@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.llm import cutoff, leaks, neardup, pack, split
+from docsift.llm import cutoff, leaks, neardup, pack, pairs, split
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.links(_t(spark, sf_dir, "document_section"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(_t(spark, sf_dir, "answer"), _t(spark, sf_dir, "user_query"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.divided(_t(spark, sf_dir, "document_section"))
 
@@ -51,7 +55,7 @@ def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.hazards(cutoff.endings(_t(spark, sf_dir, "documents"))).filter("significant").select("source", "unit", "size", "ended", "at_risk")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_pieces, p7_sequences, p8_found, p8_alignments, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p3_found, p4_found, p4_pieces, p7_sequences, p8_found, p8_alignments, p9_found, p9_rates, p9_limits)}
 SQL = {
     "p4_found": r"""SELECT DISTINCT section_id FROM document_section
 WHERE section_id IS NOT NULL AND length(trim(section_text, chr(32) || chr(9) || chr(10) || chr(13))) > 1200""",
