@@ -15,64 +15,95 @@ tables give empty results.  Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docsift.llm.words import by_batch
+from docsift.stage import Stage
+
 NEIGHBOURS, FALSE_DISCOVERY = 40, 0.001
 #: Characters of the ending that are judged; longer last lines are prose anyway.
 TAIL = 800
 
 #: What transfers and sites append to a cut text.
-APPENDED = (
-    r"(?:\s*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|\.{3,}|…|�+|[\x00-\x08\x1a]+|<!--[^>]{0,80}(?:-->)?|</?[A-Za-z][^<>]{0,60}>?|<|&#?\w{0,7};?"
-    r"|[\[(](?i:(?:text |content |output )?(?:truncated|cut(?: off)?|shortened|more|continued|continues|to be continued|abgeschnitten|gekürzt|tronqué|suite|truncado|省略|続く|未完|截断|下略))[^\])]{0,20}[\])]?"
-    r"|(?i:(?:>+\s*)?(?:read more|continue reading|show more|see more|weiterlesen|mehr lesen|lire la suite|leer más|阅读更多|続きを読む))\W{0,5}))+\s*$"
+APPENDED = re.compile(
+    r"(?:\s*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|\.{3,}|…|\ufffd+|[\x00-\x08\x1a]+|<!--[^>]{0,80}(?:-->)?|</?[A-Za-z][^<>]{0,60}>?|<|&#?\w{0,7};?"
+    r"|[\[(](?:(?:text |content |output )?(?:truncated|cut(?: off)?|shortened|more|continued|continues|to be continued|abgeschnitten|gekürzt|tronqué|suite|truncado|省略|続く|未完|截断|下略))[^\])]{0,20}[\])]?"
+    r"|(?:>+\s*)?(?:read more|continue reading|show more|see more|weiterlesen|mehr lesen|lire la suite|leer más|阅读更多|続きを読む)\W{0,5}))+\s*\Z",
+    re.I,
 )
-_CLOSERS = r"[\"'”’»«)\]）」』】]*"
-COMPLETE = rf"[.!?。！？．]{_CLOSERS}$"
+#: Any appended mark holds one of these near its end.
+_MARKS = re.compile(r"[.…\ufffd\x00-\x08\x1a<>&;\])]|(?i:more|reading|lesen|suite|más|更多|読む)\W{0,5}\Z|[<&\[(]\S{0,80}\Z")
+COMPLETE = re.compile(r"[.!?。！？．][\"'”’»«)\]）」』】]*\Z")
 #: A last line that can't end a text: a bare list number or abbreviation.
-STUB = r"(?:^|\n)\s*[\[(]?\d{1,4}[.)\]]?$|(?:^|\s)(?:Figs?|Nos?|Abb|Nr|vol|pp?|e\.g|i\.e|z\.B|bzw|cf|vs|approx)\.$"
-NUMBER = r"(?:^|\s)\d+\.$"
+STUB = re.compile(r"(?:^|\n)\s*[\[(]?\d{1,4}[.)\]]?\Z|(?:^|\s)(?:Figs?|Nos?|Abb|Nr|vol|pp?|e\.g|i\.e|z\.B|bzw|cf|vs|approx)\.\Z")
+NUMBER = re.compile(r"(?:^|\s)\d+\.\Z")
+_L = r"[^\W\d_]"
 #: Lines that end a text without being a sentence.
-END_MARK = (
-    r"^(?:[^\p{L}\p{N}]+"
-    r"|[\[({<*=~#–—-][^\n]*[\])}>*=~#–—-]"
-    r"|\(\d+\)\s+(?!(?:[^\n]*[^\S\n])?(?:\p{Ll}{2,}\s+){3})[^\n]{1,60}"
-    r"|[\p{L}\p{N} .]{0,24}:?\s*[-+]?[\d.,]+(?:\s*[/|;\t]\s*[-+]?[\d.,]+)+"
-    r"|\p{Lu}[\p{L} ]{2,40}:\s+[\p{L}\p{N}][\p{L}\p{N} ./-]{0,30}"
-    r"|(?:Figs?|Tables?|Sheets?|Pages?|Abb|Tabelle|Tableau|Tabla|Figuras?|図|表|图)\b\.?\s*\d[^\n]{0,40})$"
+END_MARK = re.compile(
+    rf"(?:[\W_]+|[\[({{<*=~#–—-].*[\])}}>*=~#–—-]|[\w .]{{0,24}}:?\s*[-+]?[\d.,]+(?:\s*[/|;\t]\s*[-+]?[\d.,]+)+"
+    rf"|{_L}(?:{_L}| ){{2,40}}:\s+[^\W_][\w ./-]{{0,30}}|(?:Figs?|Tables?|Sheets?|Pages?|Abb|Tabelle|Tableau|Tabla|Figuras?|図|表|图)\b\.?\s*\d.{{0,40}})"
 )
-SIGN = r"^\d{1,4}[a-z']?\s+[\p{L}][\p{L}\p{N} '’/-]{0,70}$"
+FORMULA = re.compile(r"\(\d+\)\s+.{1,60}")
+_PROSE = re.compile(rf"(?:\b{_L}{{2,}}\s+){{3}}")
+SIGN = re.compile(rf"\d{{1,4}}[a-z']?\s+{_L}[\w '’/-]{{0,70}}")
+_HEADING = re.compile(r"[:：]\Z|sign|numeral|zeichen|référence|referencia|符号|標記", re.I)
+_WORD = re.compile(rf"{_L}+")
+
+
+def judge(text: str | None) -> tuple[str, int]:
+    """(kind, own length): whole, cut or doubtful, and the length without what was appended."""
+    if not text:
+        return "whole", 0
+    core = text[-TAIL:].rstrip()
+    ahead = len(text) - min(len(text), TAIL)
+    if _MARKS.search(core, max(0, len(core) - 90)):
+        while (m := APPENDED.search(core, max(0, len(core) - 200))) and m.start() < len(core):
+            core = core[: m.start()].rstrip()
+    own = ahead + len(core)
+    if not core:
+        return "whole", own
+    if STUB.search(core):
+        return "doubtful", own
+    if COMPLETE.search(core):
+        return ("doubtful" if NUMBER.search(core) else "whole"), own
+    head, _, last = core.rpartition("\n")
+    last = last.strip()
+    blank = not head.rpartition("\n")[2].strip()
+    before = head.rstrip().rpartition("\n")[2].strip()
+    if SIGN.fullmatch(last) and (SIGN.fullmatch(before) or _HEADING.search(before)):
+        word = _WORD.findall(last)[-1].lower() if core[-1].isalpha() else ""
+        if word:
+            told = text[: own - len(last)].lower()
+            seen = re.search(rf"(?<![^\W\d_]){re.escape(word)}(?![^\W\d_])", told)
+            if not seen and re.search(rf"(?<![^\W\d_]){re.escape(word)}[^\W\d_]", told):
+                return "cut", own
+        return "doubtful", own
+    if blank or not re.search(r"[\w,;]\Z", before):
+        if FORMULA.fullmatch(last) and not _PROSE.search(last):
+            return "whole", own
+        if END_MARK.fullmatch(last) and (last[0].isupper() or not last[0].isalpha()):
+            return "whole", own
+    return "cut", own
 
 
 def _ending(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One row per document: its lengths and the judgement of its ending."""
-    t = F.col("t")
+    """One row per record: its lengths and the judgement of its ending."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t")).filter("doc_id is not null")
-    tail = F.regexp_replace(F.substring(t, -TAIL, TAIL), r"\s+$", "")
-    rows = rows.withColumn("tail", tail).withColumn("core", F.regexp_replace(F.regexp_replace("tail", APPENDED, ""), r"\s+$", ""))
-    core = F.col("core")
-    rows = rows.withColumn("last", F.regexp_extract("core", r"([^\n]*)$", 1)).withColumn("head", F.regexp_extract("core", r"(?s)^(.*?)\n?[^\n]*$", 1))
-    last, before = F.trim("last"), F.regexp_extract(F.regexp_replace("head", r"\s+$", ""), r"([^\n]*)$", 1)
-    blank_before = F.col("head").rlike(r"\n[ \t]*$")
-    word = F.regexp_extract("core", r"(\p{L}+)$", 1)
-    sign = last.rlike(SIGN) & (F.trim(before).rlike(SIGN) | F.trim(before).rlike(r"[:：]$|(?i)sign|numeral|zeichen|référence|referencia|符号|標記"))
-    seen = F.rlike(t, F.concat(F.lit(r"(?i)(?<!\p{L})\Q"), word, F.lit(r"\E(?!\p{L})(?=[\s\S]*\n)")))
-    longer = F.rlike(t, F.concat(F.lit(r"(?i)(?<!\p{L})\Q"), word, F.lit(r"\E\p{L}")))
-    mark = last.rlike(END_MARK) & (blank_before | ~before.rlike(r"[\p{L},;]$"))
-    kind = (
-        F.when(core.isNull() | (core == ""), "whole")
-        .when(core.rlike(STUB), "doubtful")
-        .when(core.rlike(COMPLETE), F.when(core.rlike(NUMBER), "doubtful").otherwise("whole"))
-        .when(sign, F.when((word != "") & longer & ~seen, "cut").otherwise("doubtful"))
-        .when(mark, "whole")
-        .otherwise("cut")
-    )
-    return rows.select(
-        "doc_id", "source", F.length(t).alias("chars"), F.octet_length(t).alias("bytes"),
-        (F.length(t) - F.length(F.substring(t, -TAIL, TAIL)) + F.length("core")).alias("own"), kind.alias("kind"),
-    )
+    rows = rows.select("doc_id", "source", F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), "t")
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kinds, own = zip(*map(judge, batch.column(4).to_pylist()))
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.int32()), pa.array(kinds, pa.string())], ["doc_id", "source", "chars", "bytes", "own", "kind"])
+
+        return run
+
+    return by_batch(rows, make, "doc_id long, source string, chars int, bytes int, own int, kind string")
 
 
 def endings(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -103,7 +134,7 @@ def hazards(ends: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, kind, at_limit, cut for every document."""
-    ends = endings(df, key, text, source)
+    ends = Stage(df.sparkSession, "cutoff").save(endings(df, key, text, source), "endings")
     limits = hazards(ends).filter("significant").select(F.col("source").alias("s"), "unit", "size")
     doubtful = ends.filter("kind = 'doubtful'")
     at = [
