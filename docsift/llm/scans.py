@@ -35,7 +35,7 @@ from docsift.llm.words import by_batch
 #: Bound of the lexicon, of the training sample and of the length of a token that may be a word.
 LEXICON, SAMPLE, LONGEST = 100_000, 400, 40
 #: A token is looked at if its share of all tokens is below this.
-RARE = 2e-6
+RARE = 5e-5
 
 _PART = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
@@ -94,45 +94,39 @@ class Editor:
         self.lexicon, self.model = lexicon, Perceptron()
         self.total = sum(lexicon.values()) or 1
         self.seen: dict[str, str | None] = {}
+        self.raw: dict[str, str | None] = {}
         self.floor = max(3.0, self.total * RARE)
 
     def candidates(self, read: str) -> dict[str, list[tuple[str, str, int]]]:
-        """Lexicon words within three edits of the token, with their edits (read, meant, position)."""
-        sites = []
-        for i in range(len(read)):
-            for n in (1, 2, 3):
-                for meant in _READ.get(read[i : i + n], ()) if i + n <= len(read) else ():
-                    sites.append((i, n, meant))
-            if read[i] == "�":
-                sites += [(i, 1, c) for c in _ANY]
+        """Lexicon words that the token can be edited into, with their edits (read, meant, position).
+
+        Signs and digits must be replaced; beside these, as few letters as lead to a word, at most two.
+        """
         odd = {i for i, c in enumerate(read) if c.isdigit() or c in _SIGNS}
-        out: dict[str, list[tuple[str, str, int]]] = {}
-        frontier: list[tuple[str, int, list, frozenset]] = [("", 0, [], frozenset())]
-        by_start: dict[int, list] = defaultdict(list)
-        for s in sites:
-            by_start[s[0]].append(s)
-        # depth-first over positions, at most three edits (more only to replace signs and digits)
-        stack = [(0, "", (), 0)]
-        steps = 0
-        while stack:
-            i, made, edits, free = stack.pop()
-            steps += 1
-            if steps > 20_000:
-                break
-            if i == len(read):
-                if edits and made in self.lexicon:
-                    old = out.get(made)
-                    if old is None or len(edits) < len(old):
-                        out[made] = list(edits)
-                continue
-            if i not in odd:
-                stack.append((i + 1, made + read[i], edits, free))
-            for _, n, meant in by_start.get(i, ()):
-                cost = 0 if i in odd else 1
-                if free + cost <= 3 - min(1, len(odd)):
-                    stack.append((i + n, made + meant, (*edits, (read[i : i + n], meant, i)), free + cost))
-        del frontier
-        return out
+        sites: list[list[tuple[int, str]]] = []
+        for i, c in enumerate(read):
+            here = [(n, m) for n in (1, 2, 3) for m in _READ.get(read[i : i + n], ()) if i + n <= len(read)]
+            sites.append(here + [(1, x) for x in _ANY] if c == "�" else here)
+        lexicon = self.lexicon
+        for free in range(0 if odd else 1, 3):
+            out: dict[str, list[tuple[str, str, int]]] = {}
+            stack: list[tuple[int, int, str, tuple]] = [(0, free, "", ())]
+            while stack:
+                i, left, made, edits = stack.pop()
+                if not left and not any(j >= i for j in odd):
+                    if (word := made + read[i:]) in lexicon and edits:
+                        out.setdefault(word, list(edits))
+                    continue
+                for j in range(i, len(read)):
+                    must = j in odd
+                    for n, meant in sites[j]:
+                        if must or left:
+                            stack.append((j + n, left - (not must), made + read[i:j] + meant, (*edits, (read[j : j + n], meant, j))))
+                    if must:
+                        break
+            if out:
+                return out
+        return {}
 
     def features(self, read: str, word: str, edits: list[tuple[str, str, int]]) -> list[str]:
         own, count = self.lexicon.get(read, 0), self.lexicon.get(word, 0)
@@ -149,9 +143,10 @@ class Editor:
     def best(self, read: str) -> tuple[str, list[str]]:
         """The chosen word and its features."""
         top, chosen, what = self.model.score(f := self.keep(read)), read, f
-        own = self.lexicon.get(read, 0)
-        for word, edits in self.candidates(read).items():
-            if self.lexicon[word] < 20 * own + 3:
+        own, found = self.lexicon.get(read, 0), self.candidates(read)
+        most = max((self.lexicon[w] for w in found), default=0)
+        for word, edits in found.items():
+            if self.lexicon[word] < max(20 * own + 3, most / 50):  # the latter are misread words themselves
                 continue
             s = self.model.score(f := self.features(read, word, edits))
             if s > top:
@@ -196,6 +191,22 @@ class Editor:
                     self.model.update(self.keep(read) if truth == read else self.features(read, truth, edits), what)
         self.model.averaged()
 
+    def fixes(self, text: str) -> dict[str, str]:
+        """Misread tokens of a text and the words they stand for."""
+        raw, out = self.raw, {}
+        for token in set(_TOKEN.findall(text)):
+            if token not in raw:
+                if len(raw) > 300_000:
+                    raw.clear()
+                raw[token] = self.word(token)
+            if raw[token] is not None:
+                out[token] = raw[token]
+        return out
+
+    def learn(self, tokens: dict[str, str | None]) -> None:
+        """Take decisions made beforehand."""
+        self.seen.update(tokens)
+
     def word(self, token: str) -> str | None:
         """The intended word if the token is misread, in the token's case; None if it stays."""
         if len(token) > LONGEST or len(token) < 3:
@@ -215,7 +226,7 @@ class Editor:
             chosen = self.best(low)[0] if sum(c.isalpha() for c in low) >= 2 and stem else low
             if chosen == low and stem != low and self.lexicon.get(stem, 0):
                 chosen = low  # an exclamation mark, not a letter
-            self.seen[low] = None if chosen == low or chosen == stem else chosen
+            self.seen[low] = None if chosen in (low, stem) or len(chosen) < 3 else chosen
         got = self.seen[low]
         if got is None:
             return None
@@ -338,8 +349,8 @@ class Lines:
         page = rng.choice([None, *range(1, 60), *range(1, 30)])
         number = page or rng.randint(1, 60)
         words = [rng.choice(pool) for _ in range(rng.randint(1, 3))]
-        title = rng.choice([" ".join(words).title() + " " + rng.choice(nouns), f"{rng.choice(['Internal', 'Restricted', 'Draft', 'Confidential', 'Preliminary'])}{rng.choice([' – ', ': ', ' · ', ' | '])}{' '.join(words).lower()}"])
-        title += rng.choice(["", "", f" – {rng.choice(['Issue', 'Rev.', 'Chapter', 'Volume'])} {rng.randint(1, 20)}"])
+        title = rng.choice([" ".join(words).title() + " " + rng.choice(nouns), f"{rng.choice(['Internal', 'Restricted', 'Draft', 'Confidential', 'Preliminary', 'For review', 'Working copy'])}{rng.choice([' – ', ': ', ' · ', ' | '])}{' '.join(words).lower()}"])
+        title += rng.choice(["", "", f" – {rng.choice(['Issue', 'Rev.', 'Chapter', 'Volume', 'Unit', 'Part'])} {rng.randint(1, 20)}"]) + rng.choice(["", "", "", " (continued)", " *", " file", f"  rev. {rng.randint(1, 5)}"])
 
         def put(at: int, new: str, label: str) -> None:
             rows = ["", new, ""] if rng.random() < 0.5 else [new]
@@ -378,24 +389,33 @@ def _width(lines: list[str]) -> int:
     return max(sorted(len(x) for x in lines if x.strip())[-3:][0], 30) if any(x.strip() for x in lines) else 30
 
 
-_SUSPECT = re.compile(r"[^\W\d_].*[a-zß-öø-ÿ].*[.,;!?:]\s|[.!?。！？;,]\s*$")
+#: A number that its frame alone marks as a page number.
+_FRAMED = re.compile(r"(?:page|p\.|seite|página|pág\.)\s*\S+(?:\s+\S+\s+\d+)?|[–—~-]\s*\w+\s*[–—~-]|\[\s*\d+\s*\]", re.I)
+_LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{3,}")
+_LABEL = re.compile(r"[^\W\d_]{4,}\s*[:–—·|-]\s+\S")
 
 
 def furniture(lines: list[str], page: int | None, model: Lines) -> dict[int, str]:
-    """Line number -> header or pageno."""
+    """Line number -> header or pageno.  Lines that begin in lower case or hold running prose are not looked at."""
     if len(lines) < 2:
         return {}
     out = {}
-    width = _width(lines)
+    width = 0
     for k, x in enumerate(lines):
         s = x.strip()
-        if not s or len(s) > 90 or _SUSPECT.search(s) and not beside(x, page) and not page_mark(s, page):
+        if not s or len(s) > 90 or s[0] > "\u2e7f" and s[0] != "�" or s[0].islower() and len(s) > 16:
+            continue
+        mark = page_mark(s, page) if len(s) < 25 else None
+        if not mark and (s[0].islower() or len(_LOWER.findall(s)) > 3 and not _LABEL.match(s)):
             continue
-        if s[0].islower() and not page_mark(s, page):
+        if not mark and _STOP.search(s) and not beside(x, page):
             continue
+        width = width or _width(lines)
         label = model.best(line_features(lines, k, page, width))
-        if label == "pageno" and not page_mark(s, page):
+        if label == "pageno" and not mark:
             label = "header"
+        if mark and (mark[0] or page is None) and _FRAMED.fullmatch(s):
+            label = "pageno"
         if label != "text":
             out[k] = label
     return out
@@ -451,17 +471,17 @@ def examine(text: str | None, page: int | None, editor: Editor, lines_model: Lin
             return m[0] if not (m[2] or m[4]) else f"{m[1]}-{m[5]}"
 
         body = _BREAK.sub(joined, body)
+    fixes = editor.fixes(body)
     wrong = 0
+    if fixes:
 
-    def restored(m: re.Match) -> str:
-        nonlocal wrong
-        word = editor.word(m[0])
-        if word is None:
-            return m[0]
-        wrong += 1
-        return word
+        def restored(m: re.Match) -> str:
+            nonlocal wrong
+            word = fixes.get(m[0])
+            wrong += word is not None
+            return word or m[0]
 
-    body = _TOKEN.sub(restored, body)
+        body = _TOKEN.sub(restored, body)
     if wrong >= 3:
         kinds.add("chars")
     paragraphs = re.split(r"\n[ \t]*\n\s*", body)
@@ -506,6 +526,20 @@ def models(df: DataFrame, key: str, text: str, page: str) -> tuple[Editor, Lines
     lines_model.train([r[0] for r in clean.collect()], rng)
     editor.train(rng)
     editor.seen.clear()
+    # the rare words of the lexicon are decided once, not in every task
+    rare = [w for w, n in editor.lexicon.items() if n < editor.floor]
+    if rare:
+        shared = df.sparkSession.sparkContext.broadcast(editor)
+
+        def make():
+            def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+                words = batch.column(0).to_pylist()
+                return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.word(w) for w in words], pa.string())], ["w", "fix"])
+
+            return run
+
+        decided = by_batch(df.sparkSession.createDataFrame([(w,) for w in rare], "w string").repartition(24), make, "w string, fix string")
+        editor.learn({r.w: r.fix for r in decided.collect()})
     return editor, lines_model
 
 
