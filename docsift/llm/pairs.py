@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.words import by_batch
+from docsift.stage import Stage
 
 # ---- empty -------------------------------------------------------------------
 
@@ -448,9 +449,10 @@ def pairs_of(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 def defects(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """answer_id, defect of every defective answer."""
-    rows = pairs_of(answers, questions)
-    judged = _judge(rows)
-    stats = _statistics(rows)
+    stage = Stage(answers.sparkSession, "pairs")
+    rows = stage.save(pairs_of(answers, questions), "pairs")
+    judged = stage.save(_judge(rows), "judged")
+    stats = stage.save(_statistics(rows), "statistics")
     opens = stats.filter("kind = 'open'").select(F.col("item").alias("opening"), "ended", "open")
     words = stats.filter("kind = 'word' and ended > 0").select("item")
     known = words.select(F.col("item").alias("last"), F.lit(True).alias("known"))
