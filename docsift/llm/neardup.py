@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.words import WORD, by_batch
+from docsift.reduce import reduced, reducer
 from docsift.stage import Stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.998
 BUCKET, DEPTH, EXPAND = 1000, 6, 64
 #: Hash functions for paths and, one bit each, for the sketch.
-PATHS, BITS = 32, 128
+PATHS, BITS = 24, 128
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, PATHS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PATHS + BITS, dtype=np.uint64)
@@ -181,7 +182,8 @@ def _bucket_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
 def _gather(rows: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs of the buckets in ``counts``, none of which exceeds BUCKET rows."""
     member = F.struct("k", "n", "lo", "hi")
-    buckets = rows.join(counts.select("path"), "path").groupBy("path").agg(F.collect_list(member).alias("rows"))
+    paths = counts.select("path")
+    buckets = reduced(rows, "path", reducer(paths, "path")).join(paths, "path").groupBy("path").agg(F.collect_list(member).alias("rows"))
     return _bucket_pairs(buckets, similarity)
 
 
@@ -197,7 +199,7 @@ def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
         large = counts.filter(F.col("size") > BUCKET).select("path", "size")
         if large.isEmpty():
             return out.distinct()
-        inside = rows.join(large, "path")
+        inside = reduced(rows, "path", reducer(large, "path")).join(large, "path")
         if level == DEPTH:
             # blocks of a bucket, each met with each: every row goes to the cells of its block's row and column
             blocks = F.ceil(F.col("size") / (BUCKET / 2)).cast("int")
@@ -214,7 +216,8 @@ def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
     """k, s (shingle hashes) of the wanted keys."""
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null").join(wanted, "k", "left_semi")
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+    rows = reduced(rows, "k", reducer(wanted, "k")).join(wanted, "k", "left_semi")
 
     def make():
         shingle = Shingler(n, min_words)
@@ -232,19 +235,20 @@ def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: flo
     """(pairs, members): verified pairs (a, b, similarity) of representatives, and k, rep, copies of every record."""
     stage = Stage(df.sparkSession, "neardup")
     rows = stage.save(sketched(df, key, text, n, min_words), "sketched")
-    classes = stage.save(rows.groupBy("cls").agg(F.min("k").alias("rep"), F.countDistinct("k").alias("copies")), "classes")
-    heads = classes.select(F.col("rep").alias("k"), F.col("cls").alias("c"))
-    same = rows.join(heads, "k").filter("cls = c").dropDuplicates(["k"])
-    reps = stage.save(same.select("k", "n", "tokens", "lo", "hi"), "reps")
+    head = F.min(F.struct("k", "n", "tokens", "lo", "hi")).alias("r")
+    reps = stage.save(rows.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several")), "reps")
     found = stage.save(candidates(reps, stage, similarity), "candidates")
     wanted = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = _sets(df, wanted, key, text, n, min_words)
+    sets = stage.save(_sets(df, wanted, key, text, n, min_words), "sets")
     both = found.join(sets.withColumnsRenamed({"k": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"k": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     value = common / (F.size("sa") + F.size("sb") - common)
     pairs = stage.save(both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= similarity), "pairs")
-    members = rows.select("k", "cls").distinct().join(classes, "cls").select("k", "rep", "copies")
-    return pairs, members
+    shared = reps.filter("several").select("cls", F.col("k").alias("rep"))
+    copies = reduced(rows.select("k", "cls"), "cls", reducer(shared, "cls")).distinct().join(shared, "cls")
+    sizes = copies.groupBy("rep").agg(F.count("*").alias("copies"))
+    members = copies.join(sizes, "rep").select("k", "rep", "copies")
+    return pairs, members.union(reps.filter("not several").select("k", F.col("k").alias("rep"), F.lit(1).cast("long").alias("copies")))
 
 
 def found(df: DataFrame, key: str = "section_id", text: str = "section_text", n: int = 3, similarity: float = 0.6, min_words: int = 20) -> DataFrame:
