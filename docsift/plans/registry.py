@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.plans import problems
+from docsift.plans import problems, texts
 
-MODULES = (problems,)
+MODULES = (problems, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
