@@ -36,9 +36,11 @@ from docsift.llm.words import by_batch
 from docsift.stage import Stage
 
 DIM, NEAREST, COPIES = 64, 5, 6
-#: Graph degree, reverse neighbours and forward neighbours that a round joins.
-DEGREE, REVERSE, FORWARD = 12, 8, 8
-TREES, LEAF, ROUNDS, CHANGED = 3, 2048, 3, 0.02
+#: Degree of the graph, and the share of its forward and of as many reverse neighbours that a round joins.
+DEGREE, JOINED = 12, 0.67
+TREES, LEAF, ROUNDS, CHANGED = 3, 2048, 2, 0.01
+#: The same where whole neighbour lists are wanted, not only close pairs.
+FULL_DEGREE, FULL_ROUNDS, FULL_TREES = 24, 8, 4
 #: Vectors that the trees are fitted on, and the depth to which that many can balance them.
 SAMPLE, FITTED_DEPTH = 20_000, 11
 #: How far 8-bit similarities may be off; edges this near a threshold are computed again.
@@ -132,8 +134,8 @@ def _edge_batch(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.float32())], ["i", "j", "s"])
 
 
-def _leaf_edges(table: pa.Table) -> pa.Table:
-    """The DEGREE nearest of each node inside its leaf."""
+def _leaf_edges(table: pa.Table, degree: int) -> pa.Table:
+    """The nearest of each node inside its leaf."""
     k = table.column("k").to_numpy()
     if len(k) < 2:
         return pa.Table.from_batches([_edge_batch(k[:0], k[:0], np.zeros(0, np.float32))])
@@ -145,24 +147,29 @@ def _leaf_edges(table: pa.Table) -> pa.Table:
         s *= inv[a : a + 512, None] * inv[None, :]
         rows = np.arange(len(s))
         s[rows, a + rows] = -2
-        at, value = _top(s, min(DEGREE, len(k) - 1))
+        at, value = _top(s, min(degree, len(k) - 1))
         out.append(_edge_batch(np.repeat(k[a : a + 512], at.shape[1]), k[at.ravel()], value.ravel()))
     return pa.Table.from_batches(out)
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct edges of each node."""
+    """The k best distinct edges of each node: i, j, s, r (rank), old, least (what a better edge must exceed)."""
     best = W.partitionBy("i").orderBy(F.desc("s"), "j")
-    return edges.withColumn("r", F.dense_rank().over(best)).filter(F.col("r") <= k).select("i", "j", "s", "r").distinct()
+    top = edges.withColumn("r", F.dense_rank().over(best)).filter(F.col("r") <= k)
+    one = top.groupBy("i", "j", "s", "r").agg(F.max("old").alias("old"))
+    last = F.max("r").over(W.partitionBy("i"))
+    low = F.min("s").over(W.partitionBy("i"))
+    return one.withColumn("least", F.when(last >= k, low).otherwise(F.lit(-2.0)).cast("float"))
 
 
-def start(nodes: DataFrame, count: int, stage: Stage) -> DataFrame:
+def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, trees: int = TREES) -> DataFrame:
     """Edges from exact search inside the leaves of the forest. nodes: k, v, q."""
     spark = nodes.sparkSession
-    rows = nodes.select("v", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
+    parts = 1_000_000_000
+    rows = nodes.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / max(1, count)))).select("v").collect()
     sample = np.frombuffer(b"".join(r.v for r in rows), np.float32).reshape(len(rows), -1)
     depth = max(0, math.ceil(math.log2(max(1, count / LEAF))))
-    forest = spark.sparkContext.broadcast(Forest(sample, TREES if depth else 1, depth))
+    forest = spark.sparkContext.broadcast(Forest(sample, trees if depth else 1, depth))
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,8 +188,8 @@ def start(nodes: DataFrame, count: int, stage: Stage) -> DataFrame:
     large = sizes.select("leaf", F.ceil(F.col("n") / LEAF).cast("long").alias("parts"))
     placed = placed.join(large, "leaf", "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("k", "leaf"), F.coalesce("parts", F.lit(1))))
-    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(_leaf_edges, EDGES)
-    return stage.save(_nearest(edges, DEGREE), "graph")
+    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(lambda table: _leaf_edges(table, degree), EDGES)
+    return stage.save(_nearest(edges.withColumn("old", F.lit(False)), degree), "graph")
 
 
 def _proposals(around: DataFrame) -> DataFrame:
@@ -223,24 +230,25 @@ def _proposals(around: DataFrame) -> DataFrame:
     return by_batch(around, make, EDGES)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, rounds: int = ROUNDS) -> DataFrame:
-    """NN-descent from a start graph (i, j, s, r)."""
+def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree: int = DEGREE, rounds: int = ROUNDS, changed: float = CHANGED) -> DataFrame:
+    """NN-descent from a start graph, as ``_nearest`` gives it."""
     packed = nodes.select("k", "q")
+    join = max(2, round(degree * JOINED))
     for _ in range(rounds):
-        forward = graph.filter(F.col("r") <= FORWARD).select(F.col("i").alias("center"), F.col("j").alias("k"))
+        near = graph.filter(F.col("r") <= join)
+        forward = near.select(F.col("i").alias("center"), F.col("j").alias("k"))
         by = W.partitionBy("center").orderBy(F.desc("s"), "k")
-        back = graph.select(F.col("j").alias("center"), F.col("i").alias("k"), "s").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= REVERSE)
-        least = graph.groupBy("i").agg(F.min("s").alias("low"), F.count("*").alias("n"))
-        least = least.select(F.col("i").alias("k"), F.when(F.col("n") >= DEGREE, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-        sent = forward.union(back.select("center", "k")).join(packed, "k").join(least, "k")
-        member = F.struct("k", "q", "least")
-        around = sent.groupBy("center").agg(F.collect_list(member).alias("rows")).select("rows")
-        merged = stage.save(_nearest(graph.select("i", "j", "s", F.lit(False).alias("new")).drop("new").union(_proposals(around)), DEGREE), "graph")
-        fresh = merged.join(graph.select("i", "j"), ["i", "j"], "left_anti").count()
+        back = near.select(F.col("j").alias("center"), F.col("i").alias("k"), "s").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= join)
+        member = packed.join(graph.filter("r = 1").select(F.col("i").alias("k"), "least"), "k", "left").withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
+        sent = forward.union(back.select("center", "k")).join(member, "k")
+        around = sent.groupBy("center").agg(F.collect_list(F.struct("k", "q", "least")).alias("rows")).select("rows")
+        both = graph.select("i", "j", "s", F.lit(True).alias("old")).union(_proposals(around).withColumn("old", F.lit(False)))
+        merged = stage.save(_nearest(both, degree), "graph")
+        fresh = merged.filter("not old").count()
         stage.drop(graph)
         graph = merged
         stage.spark.sparkContext._jvm.System.gc()  # lets shuffle files of this round go
-        if fresh <= CHANGED * count * DEGREE:
+        if fresh <= changed * count * degree:
             break
     return graph
 
@@ -248,7 +256,7 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, rounds
 class Neighbours:
     """The finished graph with what is needed to turn nodes into records."""
 
-    def __init__(self, df: DataFrame, key: str, vector: str, dim: int = DIM):
+    def __init__(self, df: DataFrame, key: str, vector: str, dim: int = DIM, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES):
         self.stage = stage = Stage(df.sparkSession, "knn")
         rows = stage.save(usable(df, key, vector, dim), "vectors")
         self.members = rows.select("k", "cls").distinct()
@@ -263,7 +271,7 @@ class Neighbours:
 
         self.nodes = stage.save(by_batch(classes.select(F.col("rep").alias("k"), "v", "cls", (F.col("low") < F.col("high")).alias("several")), make, "k long, v binary, cls binary, several boolean, q binary"), "nodes")
         count = self.nodes.count()
-        self.graph = descend(start(self.nodes, count, stage), self.nodes, stage, count) if count > 1 else None
+        self.graph = descend(start(self.nodes, count, stage, degree, trees), self.nodes, stage, count, degree, rounds) if count > 1 else None
 
     def firsts(self) -> DataFrame:
         """rep, ks: the smallest keys of each vector that several records share."""
@@ -319,7 +327,7 @@ def mutual(df: DataFrame, key: str = "section_id", vector: str = "embedding", le
 
 def neighbours(df: DataFrame, key: str = "section_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
     """section_id, rank, neighbour_id, similarity: the five most similar records of every record that takes part."""
-    found = Neighbours(df, key, vector, dim)
+    found = Neighbours(df, key, vector, dim, FULL_DEGREE, FULL_ROUNDS, FULL_TREES)
     spare = NEAREST + 3
     near = found.exact(found.graph.filter(F.col("r") <= spare)) if found.graph is not None else df.sparkSession.createDataFrame([], _NONE)
     ranked = _ranked(found.records(near))
