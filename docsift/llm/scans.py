@@ -522,8 +522,10 @@ def models(df: DataFrame, key: str, text: str, page: str) -> tuple[Editor, Lines
     """The trained editor and line model."""
     rng = random.Random(11)
     editor, lines_model = Editor(lexicon(df, text)), Lines()
-    clean = df.filter(F.col(page).isNull() & F.col(text).isNotNull() & (F.length(text) > 150) & (F.length(text) < 5000)).select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE)
-    lines_model.train([r[0] for r in clean.collect()], rng)
+    clean = df.filter(F.col(page).isNull() & F.col(text).isNotNull() & (F.length(text) > 150) & (F.length(text) < 5000)).select(text, F.xxhash64(key).alias("h"))
+    chosen = [r.h for r in clean.select("h").orderBy("h").limit(SAMPLE).collect()]  # hashes only: every task sends as many
+    sample = clean.filter(F.col("h") <= max(chosen)).orderBy("h", text).collect() if chosen else []
+    lines_model.train([r[0] for r in sample], rng)
     editor.train(rng)
     editor.seen.clear()
     # the rare words of the lexicon are decided once, not in every task
