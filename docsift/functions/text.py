@@ -6,6 +6,8 @@ stated, and ``\\w``, ``\\s`` and ``\\b`` are Unicode-aware.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(col(c), P.ENDS, "")
@@ -70,10 +77,13 @@ def fingerprint(c: Column | str) -> Column:
 
 def header_like(c: Column | str) -> Column:
     """Looks like a title: empty, under twenty characters, marked (A) or (B), or mostly capitals."""
-    s = strip(F.coalesce(col(c), F.lit("")))
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
-    return (F.length(s) < 20) | s.rlike(r"\([AB]\)(?U)\s*$") | ((letters > 0) & (capitals > F.lit(0.7) * letters))
+
+    def judge(s: Column) -> Column:
+        letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
+        capitals = F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
+        return (F.length(s) < 20) | s.rlike(r"\([AB]\)(?U)\s*$") | ((letters > 0) & (capitals > F.lit(0.7) * letters))
+
+    return let(strip(F.coalesce(col(c), F.lit(""))), judge)
 
 
 def is_definition(c: Column | str) -> Column:
@@ -93,10 +103,13 @@ def key_term(c: Column | str) -> Column:
     for pattern in (P.LEADER, P.ARTICLE, P.TRAILING_VERB, P.TRAILING_PLACE):
         q = F.regexp_replace(q, pattern, "")
     q = strip(F.regexp_replace(strip(q), r"^[\"']+|[\"']+$", ""))
-    acronym = F.regexp_extract(q, P.ACRONYM, 1)
-    ws = words(q)
-    ws = F.when(F.lower(F.try_element_at(ws, F.lit(1))).isin("a", "an", "the"), F.slice(ws, 2, 100000)).otherwise(ws)
-    return F.when(acronym != "", acronym).otherwise(F.array_join(F.slice(ws, 1, 3), " "))
+
+    def choose(q: Column) -> Column:
+        acronym = F.regexp_extract(q, P.ACRONYM, 1)
+        short = let(words(q), lambda ws: F.array_join(F.when(F.lower(F.try_element_at(ws, F.lit(1))).isin("a", "an", "the"), F.slice(ws, 2, 3)).otherwise(F.slice(ws, 1, 3)), " "))
+        return F.when(acronym != "", acronym).otherwise(short)
+
+    return let(q, choose)
 
 
 def quoted(term: Column) -> Column:
@@ -118,8 +131,9 @@ def numbered(c: Column | str) -> Column:
 def definition_in(text: Column | str, term: Column | str) -> Column:
     """struct(priority, place, sentence): the strongest definition of a term in shown text, null if there is none."""
     text, term = col(text), col(term)
-    colon = F.regexp_extract(text, F.concat(F.lit(r"(?iuU)(?:^|(?<=[\s\-–—.!?(]))\b"), quoted(term), F.lit(r"\b\s*:\s*([^\n.!?]{5,250})")), 1)
-    kept = F.filter(display_sentences(text), lambda s: ~header_like(s))
+    colon = F.call_function("regexp_extract", text, F.concat(F.lit(r"(?iuU)(?:^|(?<=[\s\-–—.!?(]))\b"), quoted(term), F.lit(r"\b\s*:\s*([^\n.!?]{5,250})")), F.lit(1))
+    # a sentence that doesn't name the term needs no closer look
+    kept = F.filter(display_sentences(text), lambda s: F.contains(F.lower(s), F.lower(term)) & ~header_like(s))
 
     def ranked(s: Column, i: Column) -> Column:
         rank = None
@@ -129,27 +143,30 @@ def definition_in(text: Column | str, term: Column | str) -> Column:
         return F.struct(rank.alias("priority"), (i + 1).alias("place"), s.alias("sentence"))
 
     best = F.array_min(F.filter(F.transform(kept, ranked), lambda x: x["priority"].isNotNull()))
-    direct = F.struct(F.lit(0).alias("priority"), F.lit(0).alias("place"), F.concat(term, F.lit(": "), strip(colon)).alias("sentence"))
-    return F.when((term != "") & (text != ""), F.when(colon != "", direct).otherwise(best))
+    direct = let(colon, lambda c: F.when(c != "", F.struct(F.lit(0).alias("priority"), F.lit(0).alias("place"), F.concat(term, F.lit(": "), strip(c)).alias("sentence"))))
+    return F.when((term != "") & (text != "") & F.contains(F.lower(text), F.lower(term)), F.coalesce(direct, best))
 
 
 def expand_to_sentence(fragment: Column | str, context: Column | str) -> Column:
     """The sentence of the context around the first occurrence of a fragment; the fragment if it isn't there."""
     fragment, context = col(fragment), col(context)
-    at = F.position(F.lower(fragment), F.lower(context))
-    before = F.regexp_extract(F.substring(context, F.lit(1), at - 1), r"(?s)([^.!?\n]*)$", 1)
-    after = F.regexp_extract(F.substring(context, at + F.length(fragment), F.length(context)), r"(?s)^([^.!?]*[.!?]?)", 1)
-    whole = strip(F.concat(before, F.substring(context, at, F.length(fragment)), after))
-    return F.when((at > 0) & (fragment != "") & (whole != ""), whole).otherwise(fragment)
+
+    def around(at: Column) -> Column:
+        before = F.regexp_extract(F.substring(context, F.lit(1), at - 1), r"(?s)([^.!?\n]*)$", 1)
+        after = F.regexp_extract(F.substring(context, at + F.length(fragment), F.length(context)), r"(?s)^([^.!?]*[.!?]?)", 1)
+        whole = strip(F.concat(before, F.substring(context, at, F.length(fragment)), after))
+        return F.when((at > 0) & (fragment != ""), F.coalesce(F.nullif(whole, F.lit("")), fragment)).otherwise(fragment)
+
+    return let(F.position(F.lower(fragment), F.lower(context)), around)
 
 
 def polish(c: Column | str) -> Column:
     """Final form of an answer: cleaned, no leading bullet, capital first, full stop last unless it is a list."""
     a = F.regexp_replace(clean_display(c), r"(?U)(^|\n|\s{2,})o\s+(?=[A-Za-z])", "$1• ")
     a = strip(F.regexp_replace(a, r"(?U)^[\s•\-*]+", ""))
-    a = F.when(a.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(a, 1, 1)), F.substring(a, F.lit(2), F.length(a)))).otherwise(a)
-    last = F.substring_index(a, "\n", -1)
-    return F.when((a == "") | a.rlike(r"[.!?]$") | F.contains(last, F.lit("•")), a).otherwise(F.concat(a, F.lit(".")))
+    first = lambda a: F.when(a.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(a, 1, 1)), F.substring(a, F.lit(2), F.length(a)))).otherwise(a)
+    last = lambda a: F.when((a == "") | a.rlike(r"[.!?]$") | F.contains(F.substring_index(a, "\n", -1), F.lit("•")), a).otherwise(F.concat(a, F.lit(".")))
+    return let(let(a, first), last)
 
 
 def shortened(c: Column | str, length: int = 35) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -91,25 +91,29 @@ def answers(questions: DataFrame, retrieved: DataFrame, sections: DataFrame, rea
         out = out.join(reader(open_.select("query_id", "query_text", "context")).select("query_id", "span"), "query_id", "left")
     else:
         out = out.withColumn("span", F.lit(None).cast("string"))
+    out = out.withColumn("read", read_span("span", "context"))
     route = (
         F.when(F.coalesce(F.length("context"), F.lit(0)) < P.CONTEXT_LEAST, "not_found")
         .when(X.is_list("query_text"), "list")
         .when(F.col("definition").isNotNull(), "definition")
-        .when(F.length(read_span("span", "context")) > 10, "reader")
+        .when(F.length("read") > 10, "reader")
         .otherwise("fallback")
     )
     out = out.withColumn("route", route)
-    raw = F.when(F.col("route").isin("list", "fallback"), F.col("best")).when(F.col("route") == "definition", F.col("definition")).otherwise(read_span("span", "context"))
-    text = F.when(F.col("route") == "not_found", F.lit(P.NOT_FOUND)).otherwise(X.polish(raw))
+    raw = F.when(F.col("route").isin("list", "fallback"), F.col("best")).when(F.col("route") == "definition", F.col("definition")).otherwise(F.col("read"))
+    text = F.when(F.col("route") == "not_found", F.lit(P.NOT_FOUND)).otherwise(X.polish(F.col("raw")))
     shown = F.when(F.col("route").isin("list", "definition", "reader"), F.col("top")).otherwise(F.lit(""))
-    return out.select("query_id", "route", text.alias("answer"), shown.alias("context"))
+    return out.withColumn("raw", raw).select("query_id", "route", text.alias("answer"), shown.alias("context"))
 
 
-def read_span(span: str, ctx: str):
+def read_span(span: str, ctx: str) -> Column:
     """A reader's span; under fifteen characters it is widened to its sentence."""
-    s = X.strip(span)
-    wide = X.expand_to_sentence(s, ctx)
-    return F.when((s != "") & (F.length(s) < 15) & (F.length(wide) > F.length(s)), wide).otherwise(s)
+
+    def widened(s: Column) -> Column:
+        wide = X.expand_to_sentence(s, ctx)
+        return F.when((s != "") & (F.length(s) < 15), X.let(wide, lambda w: F.when(F.length(w) > F.length(s), w).otherwise(s))).otherwise(s)
+
+    return X.let(X.strip(span), widened)
 
 
 def first_section(retrieved: DataFrame, sections: DataFrame) -> DataFrame:
