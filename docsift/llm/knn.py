@@ -23,6 +23,7 @@ columns are read.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -35,12 +36,20 @@ from pyspark.sql import Window as W
 from docsift.llm.words import by_batch
 from docsift.stage import Stage
 
+log = logging.getLogger(__name__)
+
 DIM, NEAREST, COPIES = 64, 5, 6
 #: Degree of the graph, and the share of its forward and of as many reverse neighbours that a round joins.
 DEGREE, JOINED = 12, 0.67
-TREES, LEAF, ROUNDS, CHANGED = 3, 2048, 2, 0.01
+TREES, LEAF, ROUNDS, CHANGED = 5, 2048, 2, 0.01
+#: Edges per node that each leaf contributes to the start.
+PER_LEAF = 7
 #: The same where whole neighbour lists are wanted, not only close pairs.
-FULL_DEGREE, FULL_ROUNDS, FULL_TREES = 24, 8, 4
+FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF = 20, 6, 12, 16_384
+#: The graph that searches walk on; the walk makes up for a quicker build.
+WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF = 20, 4, 6, 8192
+#: Graph search: entry nodes, kept candidates, and how many of them a step opens, until no query opens any.
+ENTRIES, BEAM, WIDTH, STEPS = 128, 48, 6, 16
 #: Vectors that the trees are fitted on, and the depth to which that many can balance them.
 SAMPLE, FITTED_DEPTH = 20_000, 11
 #: How far 8-bit similarities may be off; edges this near a threshold are computed again.
@@ -162,13 +171,13 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("least", F.when(last >= k, low).otherwise(F.lit(-2.0)).cast("float"))
 
 
-def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, trees: int = TREES) -> DataFrame:
+def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """Edges from exact search inside the leaves of the forest. nodes: k, v, q."""
     spark = nodes.sparkSession
     parts = 1_000_000_000
     rows = nodes.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / max(1, count)))).select("v").collect()
     sample = np.frombuffer(b"".join(r.v for r in rows), np.float32).reshape(len(rows), -1)
-    depth = max(0, math.ceil(math.log2(max(1, count / LEAF))))
+    depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
     forest = spark.sparkContext.broadcast(Forest(sample, trees if depth else 1, depth))
 
     def make():
@@ -184,11 +193,11 @@ def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, tree
         return run
 
     placed = by_batch(nodes.select("k", "v", "q"), make, "leaf long, k long, q binary")
-    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * LEAF)
-    large = sizes.select("leaf", F.ceil(F.col("n") / LEAF).cast("long").alias("parts"))
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf)
+    large = sizes.select("leaf", F.ceil(F.col("n") / leaf).cast("long").alias("parts"))
     placed = placed.join(large, "leaf", "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("k", "leaf"), F.coalesce("parts", F.lit(1))))
-    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(lambda table: _leaf_edges(table, degree), EDGES)
+    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(lambda table: _leaf_edges(table, PER_LEAF if depth else degree), EDGES)
     return stage.save(_nearest(edges.withColumn("old", F.lit(False)), degree), "graph")
 
 
@@ -245,6 +254,7 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree
         both = graph.select("i", "j", "s", F.lit(True).alias("old")).union(_proposals(around).withColumn("old", F.lit(False)))
         merged = stage.save(_nearest(both, degree), "graph")
         fresh = merged.filter("not old").count()
+        log.info("round changed %d of %d edges", fresh, count * degree)
         stage.drop(graph)
         graph = merged
         stage.spark.sparkContext._jvm.System.gc()  # lets shuffle files of this round go
@@ -256,7 +266,7 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree
 class Neighbours:
     """The finished graph with what is needed to turn nodes into records."""
 
-    def __init__(self, df: DataFrame, key: str, vector: str, dim: int = DIM, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES):
+    def __init__(self, df: DataFrame, key: str, vector: str, dim: int = DIM, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF):
         self.stage = stage = Stage(df.sparkSession, "knn")
         rows = stage.save(usable(df, key, vector, dim), "vectors")
         self.members = rows.select("k", "cls").distinct()
@@ -271,7 +281,7 @@ class Neighbours:
 
         self.nodes = stage.save(by_batch(classes.select(F.col("rep").alias("k"), "v", "cls", (F.col("low") < F.col("high")).alias("several")), make, "k long, v binary, cls binary, several boolean, q binary"), "nodes")
         count = self.nodes.count()
-        self.graph = descend(start(self.nodes, count, stage, degree, trees), self.nodes, stage, count, degree, rounds) if count > 1 else None
+        self.graph = descend(start(self.nodes, count, stage, degree, trees, leaf), self.nodes, stage, count, degree, rounds) if count > 1 else None
 
     def firsts(self) -> DataFrame:
         """rep, ks: the smallest keys of each vector that several records share."""
@@ -310,6 +320,68 @@ def _ranked(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= NEAREST)
 
 
+def _similar(pairs: DataFrame) -> DataFrame:
+    """i, j, s of pairs i, j, qi, qj of 8-bit vectors."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int8).reshape(batch.num_rows, -1) for c in (2, 3))
+            dots = np.einsum("ij,ij->i", a.astype(np.float32), b.astype(np.float32))
+            return _edge_batch(batch.column(0), batch.column(1), dots * (_inverse(a) * _inverse(b)))
+
+        return run
+
+    return by_batch(pairs.select("i", "j", "qi", "qj"), make, EDGES)
+
+
+def greedy_search(found: Neighbours, queries: DataFrame, k: int) -> DataFrame:
+    """i, j, s: the k nearest nodes j of each query i (k, q), by best-first search on the graph.
+
+    Every query starts at the same few nodes.  A step opens the best unopened
+    candidates of each query, scores their neighbours and keeps the best ``BEAM``.
+    """
+    stage, nodes = found.stage, found.nodes.select(F.col("k").alias("j"), F.col("q").alias("qj"))
+    asked = queries.select(F.col("k").alias("i"), F.col("q").alias("qi"))
+    links = found.graph.select(F.col("i").alias("at"), "j")
+    entries = nodes.orderBy(F.xxhash64("j")).limit(ENTRIES)  # a fixed number of rows
+    best = W.partitionBy("i").orderBy(F.desc("s"), "j")
+    state = stage.save(_similar(asked.crossJoin(F.broadcast(entries))).withColumn("opened", F.lit(False)).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM).drop("r"), "beam")
+    for _ in range(STEPS):
+        turn = F.row_number().over(W.partitionBy("i", "opened").orderBy(F.desc("s"), "j"))
+        now = stage.save(state.withColumn("n", turn).withColumn("now", ~F.col("opened") & (F.col("n") <= WIDTH)).drop("n"), "turn")
+        if now.filter("now").isEmpty():
+            break
+        steps = now.filter("now").select("i", F.col("j").alias("at")).join(links, "at").select("i", "j").distinct()
+        fresh = steps.join(now.select("i", "j"), ["i", "j"], "left_anti")
+        scored = _similar(fresh.join(nodes, "j").join(asked, "i")).withColumn("opened", F.lit(False))
+        both = now.select("i", "j", "s", (F.col("opened") | F.col("now")).alias("opened")).unionByName(scored)
+        following = stage.save(both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= BEAM).drop("r"), "beam")
+        stage.drop(state)
+        stage.drop(now)
+        state = following
+    return state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("i", "j", "s")
+
+
+def search(df: DataFrame, asks, key: str = "section_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
+    """section_id, rank, neighbour_id, similarity for the records whose key satisfies ``asks``, against all records.
+
+    asks: function from the key column to a condition.  The five most similar
+    other records of each are found by graph search.
+    """
+    found = Neighbours(df, key, vector, dim, WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF)
+    who = found.members.filter(asks(F.col("k")))
+    if found.graph is None:
+        return df.sparkSession.createDataFrame([], "section_id long, rank int, neighbour_id long, similarity double")
+    # a query is asked by the node of its vector
+    place = found.nodes.select("cls", F.col("k").alias("rep"), "q")
+    mine = who.join(place, "cls").select("k", "rep", "q")
+    near = found.exact(greedy_search(found, mine.groupBy("rep").agg(F.first("q").alias("q")).withColumnRenamed("rep", "k"), NEAREST + 3))
+    firsts = found.firsts().withColumnRenamed("rep", "j")
+    wide = mine.select("k", F.col("rep").alias("i")).join(near, "i").join(firsts, "j", "left")
+    flat = wide.select(F.col("k").alias("i"), F.explode(F.coalesce("ks", F.array("j"))).alias("j"), "s").filter("i <> j")
+    return _ranked(flat).select(F.col("i").alias("section_id"), "rank", F.col("j").alias("neighbour_id"), F.round("s", 6).alias("similarity"))
+
+
 _NONE = "i long, j long, s double"
 
 
@@ -327,7 +399,7 @@ def mutual(df: DataFrame, key: str = "section_id", vector: str = "embedding", le
 
 def neighbours(df: DataFrame, key: str = "section_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
     """section_id, rank, neighbour_id, similarity: the five most similar records of every record that takes part."""
-    found = Neighbours(df, key, vector, dim, FULL_DEGREE, FULL_ROUNDS, FULL_TREES)
+    found = Neighbours(df, key, vector, dim, FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF)
     spare = NEAREST + 3
     near = found.exact(found.graph.filter(F.col("r") <= spare)) if found.graph is not None else df.sparkSession.createDataFrame([], _NONE)
     ranked = _ranked(found.records(near))

@@ -39,6 +39,10 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbours(_t(spark, sf_dir, "document_section"))
 
 
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(_t(spark, sf_dir, "document_section"), lambda key: key % 20 == 0)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.found(_t(spark, sf_dir, "document_section"))
 
@@ -71,7 +75,7 @@ def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.hazards(cutoff.endings(_t(spark, sf_dir, "documents"))).filter("significant").select("source", "unit", "size", "ended", "at_risk")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p3_found, p4_found, p4_pieces, p5_found, p5_neighbours, p6_found, p6_repaired, p7_sequences, p8_found, p8_alignments, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p3_found, p4_found, p4_pieces, p5_found, p5_neighbours, p5_search, p6_found, p6_repaired, p7_sequences, p8_found, p8_alignments, p9_found, p9_rates, p9_limits)}
 SQL = {
     "p4_found": r"""SELECT DISTINCT section_id FROM document_section
 WHERE section_id IS NOT NULL AND length(trim(section_text, chr(32) || chr(9) || chr(10) || chr(13))) > 1200""",
