@@ -38,7 +38,7 @@ APPENDED = re.compile(
 )
 #: Any appended mark holds one of these near its end.
 _MARKS = re.compile(r"[.…\ufffd\x00-\x08\x1a<>&;\])]|(?i:more|reading|lesen|suite|más|更多|読む)\W{0,5}\Z|[<&\[(]\S{0,80}\Z")
-COMPLETE = re.compile(r"[.!?。！？．][\"'”’»«)\]）」』】]*\Z")
+COMPLETE = re.compile(r"[.!?。！？．][\"'“”‘’»«)\]）」』】]*\Z")
 #: A last line that can't end a text: a bare list number or abbreviation.
 STUB = re.compile(r"(?:^|\n)\s*[\[(]?\d{1,4}[.)\]]?\Z|(?:^|\s)(?:Figs?|Nos?|Abb|Nr|vol|pp?|e\.g|i\.e|z\.B|bzw|cf|vs|approx)\.\Z")
 NUMBER = re.compile(r"(?:^|\s)\d+\.\Z")

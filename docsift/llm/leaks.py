@@ -3,9 +3,9 @@
 The passages are a stated query set, held as hashes of their word n-grams in
 blocks of at most ``BLOCK_WORDS`` words, so what a block broadcasts is bounded
 and a larger set only takes more passes.  A first pass counts in how many
-documents each n-gram of the block occurs; the rarest n-gram of every
-``RUN``-word window becomes a seed, so any run of ``RUN`` words of a passage
-holds a seed.  A second pass joins seeds to documents and aligns passage and
+documents each n-gram of the block occurs; all rare n-grams become seeds, and
+the rarest of every ``RUN``-word window even if it is not rare, so any run of
+``RUN`` words of a passage holds a seed.  A second pass joins seeds to documents and aligns passage and
 surroundings by Smith-Waterman over words, which also scores edited copies; the
 longest exact run is read off the same matrix.  Document texts are never
 shuffled.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from docsift.llm.words import WORD, by_batch, words
 
 GRAM, RUN = 6, 15
+#: An n-gram in at most so many documents, or this share of them, is rare.
+RARE_DOCS, RARE_SHARE = 20, 1e-5
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Words beyond the passage's ends that are aligned too.
@@ -62,8 +64,9 @@ class Passages:
         self.grams = self.grams[self.grams > 0]
         self.hashes = hashes
 
-    def choose(self, df: np.ndarray) -> None:
-        """Keep the rarest n-gram of each window of RUN words as seed. df: documents with each of ``grams``."""
+    def choose(self, df: np.ndarray, docs: int) -> None:
+        """Keep as seeds all rare n-grams and the rarest of each window of RUN words. df: documents with each of ``grams``."""
+        rare_at_most = max(RARE_DOCS, int(docs * RARE_SHARE))
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, h in enumerate(self.hashes):
             if not len(h):
@@ -71,7 +74,7 @@ class Passages:
             count = df[np.searchsorted(self.grams, h)]
             wide = max(1, min(RUN, len(self.items[k][1])) - GRAM + 1)
             chosen = {min(range(s, s + wide), key=lambda p: (count[p], h[p])) for s in range(len(h) - wide + 1)}
-            rare = {int(h[p]) for p in chosen}
+            rare = {int(h[p]) for p in range(len(h)) if p in chosen or count[p] <= rare_at_most}
             for p in range(len(h)):
                 if int(h[p]) in rare:
                     self.at[int(h[p])].append((k, p))
@@ -198,15 +201,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 pos, which = _hits(ids, index.grams)
                 doc = np.searchsorted(starts, pos, "right") - 1
                 grams, n = np.unique(np.unique(np.stack([doc, which], 1), axis=0)[:, 1], return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["g", "n"])
+                # documents are counted under -1
+                return pa.RecordBatch.from_arrays([pa.array([-1, *grams], pa.int64()), pa.array([batch.num_rows, *n], pa.int64())], ["g", "n"])
 
             return run
 
         counted = by_batch(rows.select("t"), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        df = np.zeros(len(index.grams), np.int64)
+        df, total = np.zeros(len(index.grams), np.int64), 0
         for r in counted.collect():  # at most BLOCK_WORDS rows
-            df[r.g] = r.n
-        index.choose(df)
+            if r.g < 0:
+                total = r.n
+            else:
+                df[r.g] = r.n
+        index.choose(df, total)
         chosen = spark.sparkContext.broadcast(index)
 
         def match(chosen=chosen):

@@ -60,7 +60,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_item"))
+    """Documents with a long exact run of a passage, or with at least half of it in edited form."""
+    found = leaks.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_item"))
+    return found.filter((found.run >= leaks.RUN) | (found.coverage >= 0.5))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

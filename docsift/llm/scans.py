@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.words import by_batch
+from docsift.stage import Stage
 
 #: Bound of the lexicon, of the training sample and of the length of a token that may be a word.
 LEXICON, SAMPLE, LONGEST = 100_000, 400, 40
@@ -514,8 +515,15 @@ def lexicon(df: DataFrame, text: str = "section_text") -> dict[str, int]:
         return run
 
     counts = by_batch(df.select(F.col(text)).filter(F.col(text).isNotNull()), make, "w string, n long").filter(F.length("w") <= LONGEST)
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(LEXICON)
-    return {r.w: r.n for r in top.collect()}
+    counted = Stage(df.sparkSession, "scans").save(counts.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    # the count from which at most LEXICON words are kept, so that no more than these reach the driver
+    least, kept = 2, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        kept += r.words
+        if kept > LEXICON:
+            least = r.n + 1
+            break
+    return {r.w: r.n for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()}
 
 
 def models(df: DataFrame, key: str, text: str, page: str) -> tuple[Editor, Lines]:
