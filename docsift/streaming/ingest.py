@@ -35,4 +35,4 @@ def run(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     """window start, event_type, events: counts per tumbling window; rows later than the delay are left out."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")
