@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from docsift.functions import patterns as P
 from docsift.functions import text as X
 from docsift.functions.lists import list_items_udf
+from docsift.stage import Stage
 
 #: ``reader(df) -> df`` adds a column ``span`` to (query_id, query_text, context); none means the fallback.
 Reader = Callable[[DataFrame], DataFrame]
@@ -31,7 +32,8 @@ def numbered_first(rows: DataFrame, cleaned: str = "cleaned") -> DataFrame:
 
 def context(retrieved: DataFrame) -> DataFrame:
     """query_id, context, words: cleaned sections in rank order, up to the first that would exceed the word limit."""
-    rows = retrieved.filter(F.col("rank") <= P.CONTEXT_SECTIONS).select("query_id", "rank", X.clean_display("section_text").alias("cleaned"))
+    cleaned = F.col("cleaned") if "cleaned" in retrieved.columns else X.clean_display("section_text")
+    rows = retrieved.filter(F.col("rank") <= P.CONTEXT_SECTIONS).select("query_id", "rank", cleaned.alias("cleaned"))
     rows = rows.withColumn("words", X.word_count("cleaned"))
     total = F.sum("words").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("total", total).filter(F.col("total") <= P.CONTEXT_WORDS)
@@ -81,7 +83,8 @@ def answers(questions: DataFrame, retrieved: DataFrame, sections: DataFrame, rea
     reader, fallback.  Definitions and lists never reach the reader.
     """
     q = questions.select("query_id", "query_text")
-    rows = retrieved.join(sections.select("section_id", "section_text"), "section_id").join(q, "query_id").withColumn("cleaned", X.clean_display("section_text"))
+    rows = retrieved.join(sections.select("section_id", "section_text"), "section_id").join(q, "query_id")
+    rows = Stage(questions.sparkSession, "answers").save(rows.withColumn("cleaned", X.clean_display("section_text")).drop("section_text"), "retrieved")
     ctx = context(rows)
     first = rows.filter("rank = 1").select("query_id", F.col("cleaned").alias("top"))
     best = best_section(rows, ctx)

@@ -59,8 +59,8 @@ def scoped(sections: DataFrame, documents: DataFrame, owner: Column, wanted: Col
     return marked.filter(F.col("_mine") | ~F.col("_some")).drop("_mine", "_some")
 
 
-#: What precedes a defining verb may be a term of one to three words.
-_DEFINES = r"(?iuU)\b((?:[^\s]+ ){0,2}[^\s]+)(?=\s+(?:is|are|stands\s+for|refers\s+to|can\s+be\s+defined\s+as|means)\b)"
+#: The last word before a defining verb.
+_BEFORE_VERB = r"(?iuU)(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_\s]*+\s++(?:is|are|stands\s+for|refers\s+to|can\s+be\s+defined\s+as|means)\b"
 
 
 def boosts(sections: DataFrame, key: str, text: str, questions: DataFrame, per: str, question: str) -> DataFrame:
@@ -71,8 +71,8 @@ def boosts(sections: DataFrame, key: str, text: str, questions: DataFrame, per:
     """
     terms = questions.filter(X.is_definition(question)).select(per, X.key_term(question).alias("term")).filter("term <> ''")
     terms = terms.withColumn("_last", F.lower(F.regexp_extract("term", r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1)))
-    verbs = r"(?iuU)([\p{L}\p{N}_]+)[^\p{L}\p{N}_\s]*\s+(?:is|are|stands\s+for|refers\s+to|can\s+be\s+defined\s+as|means)\b"
-    said = sections.select(key, text, F.explode(F.array_distinct(F.transform(F.expr(f"regexp_extract_all({text}, r'{verbs}', 1)"), F.lower))).alias("_last"))
+    last = F.call_function("regexp_extract_all", F.col(text), F.lit(_BEFORE_VERB), F.lit(1))
+    said = sections.select(key, text, F.explode(F.array_distinct(F.transform(last, F.lower))).alias("_last"))
     pairs = said.join(terms, "_last").filter(X.definition_boost(text, "term") > 0)
     return pairs.select(per, key).distinct()
 
@@ -137,17 +137,26 @@ def _scorer(block, names: tuple[str, str], k: int, least: float, dedup: bool, en
                 need = min(k, scores.shape[1])
                 # the k-th best of different fingerprints can't lie beyond the k + (repeats)-th best of all
                 spare = min(scores.shape[1], need + len(keys) - len(np.unique(group)))
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :spare]
-                for i in range(len(ids)):
-                    seen: set[int] = set()
-                    for c in best[i]:
-                        if scores[i, c] < least or len(seen) == need:
-                            break
-                        if group[c] not in seen:
-                            seen.add(group[c])
-                            rows.append(i)
-                            cols.append(c)
-                if rows:
+                # score and place in one whole number, so that equal scores go by key
+                both = np.rint(scores * 10**DECIMALS).astype(np.int64) * 1024 + (1023 - np.arange(scores.shape[1]))
+                best = np.argpartition(both, scores.shape[1] - spare, axis=1)[:, scores.shape[1] - spare :]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, 1), axis=1), 1)
+                if not dedup:
+                    best = best[:, :need]
+                    keep = np.take_along_axis(scores, best, 1) >= least
+                    rows, cols = np.nonzero(keep)
+                    cols = best[keep]
+                else:
+                    for i in np.flatnonzero(scores.max(1) >= least).tolist():
+                        seen: set[int] = set()
+                        for c in best[i].tolist():
+                            if scores[i, c] < least or len(seen) == need:
+                                break
+                            if group[c] not in seen:
+                                seen.add(group[c])
+                                rows.append(i)
+                                cols.append(c)
+                if len(rows):
                     fp = np.array(fps, object)[order]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[rows]), pa.array(ranked_keys[cols]), pa.array(scores[rows, cols]), pa.array(list(fp[cols]), pa.string())],

@@ -16,6 +16,7 @@ from docsift.operators.embed import cosine
 from docsift.plans import base as B
 from docsift.plans.base import cte, t
 from docsift.sources.tables import table
+from docsift.stage import Stage
 
 # ---- store ---------------------------------------------------------------------
 
@@ -207,8 +208,8 @@ def list_items(s, d):
 
 
 def best_section(s, d):
-    rows = _asked(s, d)
-    return A.best_section(rows, A.context(_retrieved(s, d)))
+    rows = Stage(s, "best_section").save(_asked(s, d).drop("section_text"), "retrieved")
+    return A.best_section(rows, A.context(rows))
 
 
 def answers(s, d):
