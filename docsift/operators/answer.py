@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from docsift.functions import patterns as P
 from docsift.functions import text as X
 from docsift.functions.lists import list_items_udf
+from docsift.reduce import reduced, reducer
 from docsift.stage import Stage
 
 #: ``reader(df) -> df`` adds a column ``span`` to (query_id, query_text, context); none means the fallback.
@@ -75,6 +76,12 @@ def best_section(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     return joined.select("query_id", F.coalesce(bullets, F.when(F.col("summary") != "", F.col("summary")), F.col("context")).alias("best"))
 
 
+def cleaned_results(retrieved: DataFrame, sections: DataFrame) -> DataFrame:
+    """Retrieved rows with ``cleaned`` text; each section that was retrieved is cleaned once, where it is scanned."""
+    hit = reduced(sections.select("section_id", "section_text"), "section_id", reducer(retrieved, "section_id"))
+    return retrieved.join(hit.select("section_id", X.clean_display("section_text").alias("cleaned")), "section_id")
+
+
 def answers(questions: DataFrame, retrieved: DataFrame, sections: DataFrame, reader: Reader | None = None) -> DataFrame:
     """query_id, route, answer, context of every question.
 
@@ -83,18 +90,19 @@ def answers(questions: DataFrame, retrieved: DataFrame, sections: DataFrame, rea
     reader, fallback.  Definitions and lists never reach the reader.
     """
     q = questions.select("query_id", "query_text")
-    rows = retrieved.join(sections.select("section_id", "section_text"), "section_id").join(q, "query_id")
-    rows = Stage(questions.sparkSession, "answers").save(rows.withColumn("cleaned", X.clean_display("section_text")).drop("section_text"), "retrieved")
+    stage = Stage(questions.sparkSession, "answers")
+    rows = stage.save(cleaned_results(retrieved, sections).join(q, "query_id"), "retrieved")
     ctx = context(rows)
     first = rows.filter("rank = 1").select("query_id", F.col("cleaned").alias("top"))
-    best = best_section(rows, ctx)
+    ctx = stage.save(ctx, "context")
+    best = stage.save(best_section(rows, ctx), "best")
     out = q.join(ctx, "query_id", "left").join(first, "query_id", "left").join(best, "query_id", "left").join(definitions(rows), "query_id", "left")
     if reader:
         open_ = out.filter(~X.is_list("query_text") & F.col("definition").isNull() & (F.length("context") >= P.CONTEXT_LEAST))
         out = out.join(reader(open_.select("query_id", "query_text", "context")).select("query_id", "span"), "query_id", "left")
     else:
         out = out.withColumn("span", F.lit(None).cast("string"))
-    out = out.withColumn("read", read_span("span", "context"))
+    out = stage.save(out.withColumn("read", read_span("span", "context")), "joined")
     route = (
         F.when(F.coalesce(F.length("context"), F.lit(0)) < P.CONTEXT_LEAST, "not_found")
         .when(X.is_list("query_text"), "list")
@@ -106,7 +114,8 @@ def answers(questions: DataFrame, retrieved: DataFrame, sections: DataFrame, rea
     raw = F.when(F.col("route").isin("list", "fallback"), F.col("best")).when(F.col("route") == "definition", F.col("definition")).otherwise(F.col("read"))
     text = F.when(F.col("route") == "not_found", F.lit(P.NOT_FOUND)).otherwise(X.polish(F.col("raw")))
     shown = F.when(F.col("route").isin("list", "definition", "reader"), F.col("top")).otherwise(F.lit(""))
-    return out.withColumn("raw", raw).select("query_id", "route", text.alias("answer"), shown.alias("context"))
+    out = stage.save(out.select("query_id", "route", "top", raw.alias("raw")), "routed")
+    return out.select("query_id", "route", text.alias("answer"), shown.alias("context"))
 
 
 def read_span(span: str, ctx: str) -> Column:

@@ -165,16 +165,16 @@ def relative_gate(s, d):
 
 
 def numbered_sections_first(s, d):
-    rows = A.relevant(_retrieved(s, d)).withColumn("cleaned", X.clean_display("section_text"))
+    rows = A.cleaned_results(A.relevant(_retrieved(s, d)), t(s, d, "document_section"))
     return A.numbered_first(rows).select("query_id", "section_id", F.col("place").cast("long").alias("place"))
 
 
 def context_prefix(s, d):
-    return A.context(_retrieved(s, d)).select("query_id", "context", F.col("words").cast("long").alias("words"))
+    return A.context(A.cleaned_results(_retrieved(s, d), t(s, d, "document_section"))).select("query_id", "context", F.col("words").cast("long").alias("words"))
 
 
 def content_sentences(s, d):
-    rows = A.relevant(_retrieved(s, d)).withColumn("cleaned", X.clean_display("section_text"))
+    rows = A.cleaned_results(A.relevant(_retrieved(s, d)), t(s, d, "document_section"))
     return A.content_sentences(A.numbered_first(rows))
 
 
@@ -194,8 +194,9 @@ def doc_retrieval_plain(s, d):
 
 
 def _asked(s, d) -> DataFrame:
-    rows = _retrieved(s, d).join(t(s, d, "user_query").select("query_id", "query_text"), "query_id")
-    return rows.withColumn("cleaned", X.clean_display("section_text"))
+    """Ranked results with cleaned text and the question, written once."""
+    rows = A.cleaned_results(_retrieved(s, d).drop("section_text"), t(s, d, "document_section")).join(t(s, d, "user_query").select("query_id", "query_text"), "query_id")
+    return Stage(s, "asked").save(rows, "retrieved")
 
 
 def definition_sentence(s, d):
@@ -208,7 +209,7 @@ def list_items(s, d):
 
 
 def best_section(s, d):
-    rows = Stage(s, "best_section").save(_asked(s, d).drop("section_text"), "retrieved")
+    rows = _asked(s, d)
     return A.best_section(rows, A.context(rows))
 
 

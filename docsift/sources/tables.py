@@ -48,9 +48,9 @@ def once(df: DataFrame, key: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in (key, "loaded_at")]
     aggs = [F.min("loaded_at").alias("loaded_at")] if "loaded_at" in df.columns else []
-    aggs += [F.first(F.struct(*rest)).alias("_row")] if rest else []
+    # one aggregate per column, so that columns nobody reads are pruned from the shuffle
+    aggs += [F.first(F.col(f"`{c}`")).alias(c) for c in rest]
     if not aggs:
         return df.dropDuplicates([key])
     one = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-    out = one.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(c) for c in df.columns])
-    return out.unionByName(df.filter(F.col(key).isNull()))
+    return one.select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
