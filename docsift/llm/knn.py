@@ -45,7 +45,7 @@ TREES, LEAF, ROUNDS, CHANGED = 5, 2048, 2, 0.01
 #: Edges per node that each leaf contributes to the start.
 PER_LEAF = 7
 #: The same where whole neighbour lists are wanted, not only close pairs.
-FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF = 20, 6, 12, 16_384
+FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF = 20, 4, 12, 16_384
 #: The graph that searches walk on; the walk makes up for a quicker build.
 WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF = 20, 4, 6, 8192
 #: Graph search: entry nodes, kept candidates, and how many of them a step opens, until no query opens any.
@@ -359,6 +359,7 @@ def greedy_search(found: Neighbours, queries: DataFrame, k: int) -> DataFrame:
         stage.drop(state)
         stage.drop(now)
         state = following
+        stage.spark.sparkContext._jvm.System.gc()  # lets shuffle files of this step go
     return state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("i", "j", "s")
 
 

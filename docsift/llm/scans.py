@@ -81,7 +81,7 @@ LOOKALIKES = {
     "0": "o ö", "1": "l i", "3": "e", "5": "s", "6": "b ö g", "8": "b a", "9": "g q", "@": "a", "†": "t", "‡": "t", "|": "l i", "!": "l i", "$": "s", "€": "e c", "£": "e", "§": "s", "¢": "c",
     "rn": "m", "m": "rn in nn", "cl": "d", "d": "cl", "vv": "w", "w": "vv", "li": "h", "h": "li b", "ii": "u n ü", "ri": "n", "n": "ri u", "u": "ii n", "in": "m", "nn": "m", "ni": "m",
     "c": "e o", "e": "c o", "o": "c e", "f": "t", "t": "f l", "l": "i t", "i": "l j", "q": "g", "g": "q", "y": "v", "v": "y", "b": "h", "a": "o", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi",
-    "iii": "m", "lo": "b", "ol": "d", "tl": "d", "fl": "h", "j": "i", "s": "5",
+    "c1": "d", "1i": "h", "iii": "m", "lo": "b", "ol": "d", "tl": "d", "fl": "h", "j": "i", "s": "5",
 }
 _READ = {k: v.split() for k, v in LOOKALIKES.items()}
 _ANY = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñóíáúîôû"
@@ -109,8 +109,8 @@ class Editor:
             here = [(n, m) for n in (1, 2, 3) for m in _READ.get(read[i : i + n], ()) if i + n <= len(read)]
             sites.append(here + [(1, x) for x in _ANY] if c == "�" else here)
         lexicon = self.lexicon
+        out: dict[str, list[tuple[str, str, int]]] = {}
         for free in range(0 if odd else 1, 3):
-            out: dict[str, list[tuple[str, str, int]]] = {}
             stack: list[tuple[int, int, str, tuple]] = [(0, free, "", ())]
             while stack:
                 i, left, made, edits = stack.pop()
@@ -125,9 +125,9 @@ class Editor:
                             stack.append((j + n, left - (not must), made + read[i:j] + meant, (*edits, (read[j : j + n], meant, j))))
                     if must:
                         break
-            if out:
-                return out
-        return {}
+            if any(lexicon[w] >= self.floor for w in out):
+                break  # a rare word may be misread itself, so the search goes on
+        return out
 
     def features(self, read: str, word: str, edits: list[tuple[str, str, int]]) -> list[str]:
         own, count = self.lexicon.get(read, 0), self.lexicon.get(word, 0)
@@ -147,7 +147,7 @@ class Editor:
         own, found = self.lexicon.get(read, 0), self.candidates(read)
         most = max((self.lexicon[w] for w in found), default=0)
         for word, edits in found.items():
-            if self.lexicon[word] < max(20 * own + 3, most / 50):  # the latter are misread words themselves
+            if self.lexicon[word] < max(20 * own + 3, most / 50, self.floor / 8):  # rarer ones are misread words themselves
                 continue
             s = self.model.score(f := self.features(read, word, edits))
             if s > top:
@@ -156,7 +156,8 @@ class Editor:
 
     def train(self, rng: random.Random, rounds: int = 3) -> None:
         """Spoil frequent words with look-alikes and learn to restore them, and to keep codes and rare words."""
-        common = [w for w, c in sorted(self.lexicon.items(), key=lambda x: (-x[1], x[0]))[:3000] if len(w) > 3 and "-" not in w]
+        ordered = [w for w, _ in sorted(self.lexicon.items(), key=lambda x: (-x[1], x[0]))[:3000] if len(w) > 3 and "-" not in w]
+        common = [w for w in ordered if self.lexicon[w] >= self.floor] or ordered[:300]
         spoil: dict[str, list[str]] = defaultdict(list)
         for obs, meant in _READ.items():
             for m in meant:
@@ -166,10 +167,10 @@ class Editor:
             sites = [(i, n, obs) for i in range(len(w)) for n in (1, 2) for obs in spoil.get(w[i : i + n], ())]
             if not sites:
                 continue
-            for _ in range(2):
+            for _ in range(3):
                 i, n, obs = rng.choice(sites)
                 read = w[:i] + obs + w[i + n :]
-                if rng.random() < 0.25 and (more := [s for s in sites if s[0] >= i + n]):
+                if rng.random() < 0.4 and (more := [s for s in sites if s[0] >= i + n]):
                     j, m, obs2 = rng.choice(more)
                     read = w[:i] + obs + w[i + n : j] + obs2 + w[j + m :]
                 if self.lexicon.get(read, 0) * 20 < self.lexicon[w]:
@@ -215,6 +216,8 @@ class Editor:
         body = token[1:]
         if body != body.lower() and token != token.upper():
             return None  # codes in mixed case
+        if len(token) < 5 and token[0].isupper() and any(c.isdigit() for c in token):
+            return None  # short codes
         low = token.lower()
         if token == token.upper() and any(c.isdigit() for c in token):
             return None  # codes in capitals
@@ -424,7 +427,9 @@ def furniture(lines: list[str], page: int | None, model: Lines) -> dict[int, str
 
 # ---- divided words -----------------------------------------------------------------
 
-_BREAK = re.compile(r"([^\W\d_]+)(?:([-‐­¬])[ \t]*\r?\n\s*|([-‐])[ \t]+|([­¬])[ \t]*)([^\W\d_]+)")
+#: Signs read at the end of a divided word: hyphens, the not sign, and dashes in their place.
+_BREAK = re.compile("([^\\W\\d_]+)(?:([-\u2010\u2011\u00ad\u00ac–—−])[ \\t]*\\r?\\n\\s*|([-\u2010\u2011–—−])[ \\t]+|([\u00ad\u00ac])[ \\t]*)([^\\W\\d_]+)")
+_MARKS = frozenset("-\u2010\u2011\u00ad\u00ac–—−")
 _SUSPENDED = set("and or und oder et ou y o e u to bis as als".split())
 
 
@@ -463,13 +468,13 @@ def examine(text: str | None, page: int | None, editor: Editor, lines_model: Lin
             kept.append(x)
         lines = kept
     body = "\n".join(lines)
-    if "-" in body or "¬" in body or "­" in body or "‐" in body:
+    if not _MARKS.isdisjoint(body):
 
         def joined(m: re.Match) -> str:
             if divided(m[1], m[5], editor):
                 kinds.add("hyphen")
                 return m[1] + m[5]
-            return m[0] if not (m[2] or m[4]) else f"{m[1]}-{m[5]}"
+            return m[0] if not (m[2] or m[4]) or (m[2] or "") in "–—−" else f"{m[1]}-{m[5]}"
 
         body = _BREAK.sub(joined, body)
     fixes = editor.fixes(body)
