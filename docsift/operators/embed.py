@@ -79,3 +79,15 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if one is all zero, null if lengths differ or a value is missing."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(F.size(a) == F.size(b), F.when(norm == 0, F.lit(0.0)).otherwise(F.try_divide(dot(a, b), norm)))
+
+
+def with_vectors(sections: DataFrame, text: str, vector: str, udf: Callable[..., Column] | None = None) -> DataFrame:
+    """Sections with a vector for every row: stored ones stay, missing ones are computed.
+
+    The rows are split before the UDF, for a condition around a UDF does not
+    keep it from running on every row.
+    """
+    udf = udf or embedder_udf()
+    stored = sections.filter(F.col(vector).isNotNull())
+    missing = sections.filter(F.col(vector).isNull()).withColumn(vector, udf(F.coalesce(F.col(text), F.lit(""))))
+    return stored.unionByName(missing.select(*sections.columns))

@@ -134,3 +134,23 @@ def name_filter(documents: DataFrame, typed: str) -> DataFrame:
 def selection_label(chosen: Column, total: Column) -> Column:
     """What the selector shows for k of n chosen documents."""
     return F.when(total == 0, "Upload documents").when(chosen == 0, "All documents").otherwise(F.concat(chosen.cast("string"), F.lit(" of "), total.cast("string")))
+
+
+def kept_selection(chosen: Column, valid: Column) -> Column:
+    """Chosen ids that still exist."""
+    return F.array_intersect(chosen, valid)
+
+
+def stamped(df: DataFrame, column: str, today: Column | None = None) -> DataFrame:
+    """Rows with the day they were written; ``today`` replaces the clock, as in tests."""
+    return df.withColumn(column, F.current_date() if today is None else today)
+
+
+def one(df: DataFrame, *order: str):
+    """The first row in the given order, or None."""
+    return df.orderBy(*order).first() if order else df.first()
+
+
+def initial(c: Column | str) -> Column:
+    """The upper-case first letter of a name."""
+    return F.upper(F.substring(F.col(c) if isinstance(c, str) else c, 1, 1))

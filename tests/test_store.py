@@ -150,3 +150,18 @@ def test_orphans_hot_key(spark):
     late = sum(1 for i in range(3000) if i % 3 and 15 - (1 + i % 28) > 1)
     assert sum(r.reason == "late" for r in found) == late and sum(r.reason == "missing" for r in found) == 1000
     assert sum(r.records for r in orphan_counts(refs).collect()) == len(found)
+
+
+def test_missing_vectors(spark):
+    df = spark.createDataFrame([(1, "cat", [1.0, 0.0]), (2, "dog", None), (3, None, None)], "id long, x string, v array<float>")
+    got = {r.id: r.v for r in E.with_vectors(df, "x", "v").collect()}
+    assert got[1] == [1.0, 0.0] and len(got[2]) == E.DIM and sum(got[3]) == 0
+
+
+def test_small_views(spark):
+    df = spark.createDataFrame([([1, 2, 3], [3, 1], "ann")], "a array<int>, b array<int>, n string")
+    r = S.stamped(df, "day", F.to_date(F.lit("2024-02-03"))).select(S.kept_selection(F.col("a"), F.col("b")).alias("k"), "day", S.initial("n").alias("i")).first()
+    assert (r.k, r.day, r.i) == ([1, 3], dt.date(2024, 2, 3), "A")
+    assert S.one(df.limit(0)) is None
+    labels = spark.createDataFrame([(0, 0), (0, 3), (2, 3)], "k int, n int").select(S.selection_label(F.col("k"), F.col("n"))).collect()
+    assert [x[0] for x in labels] == ["Upload documents", "All documents", "2 of 3"]
