@@ -216,7 +216,7 @@ class Editor:
         body = token[1:]
         if body != body.lower() and token != token.upper():
             return None  # codes in mixed case
-        if len(token) < 5 and token[0].isupper() and any(c.isdigit() for c in token):
+        if len(token) < 5 and token[0].isupper() and any(c.isdigit() for c in token) and sum(c.islower() for c in token) < 2:
             return None  # short codes
         low = token.lower()
         if token == token.upper() and any(c.isdigit() for c in token):
