@@ -170,6 +170,9 @@ def wrong_language(answer: str, question: str | None) -> bool:
     return not any(n in q for n in _NAMES[given].split())
 
 
+#: A sentence longer than this is no refusal; it keeps rules from running over very long texts.
+LONGEST_REFUSAL = 500
+
 # ---- refusals --------------------------------------------------------------------
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’»)]*\s*|\n+")
@@ -200,6 +203,8 @@ _REFUSAL = {
         rf"|(?:this|that|the|your|such an?) (?:question|query|request|topic|subject)s?(?: \w+)? (?:can ?not|can['’]t|could not|couldn['’]t|is (?:not|beyond|outside|out of)|falls outside|lies outside|goes beyond|remains unanswered|has no answer)[^.!?]*"
         rf"|(?:it|this|that)(?: is| was|['’]s) (?:not (?:something|possible|clear|known|stated|mentioned|covered|specified|a question|a topic|available)|impossible|beyond|outside|out of)[^.!?]*"
         rf"|(?:it is |it's )?(?:not|n['’]t) (?:found|known|stated|available|specified|mentioned|answerable|covered)(?: (?:in|by|from) [^.!?]*)?"
+        rf"|(?:it|this|that) (?:is|would be|goes|would go|runs) (?:against|contrary to|outside|beyond) (?:my|our|the) [^.!?]*|(?:my|our) (?:guidelines|rules|policy|policies|instructions|programming|settings) (?:do not|don['’]t|does not|doesn['’]t|forbid|prevent|prohibit|keep|stop|rule out)[^.!?]*"
+        rf"|(?:i|we)(?:['’]d| would| should)? (?:prefer|rather|choose|wish|opt) not(?: to)? [^.!?]*|(?:i|we) (?:am|are|['’]m|['’]re) (?:forbidden|prohibited|barred|prevented) [^.!?]*"
         rf"|(?:the )?answer (?:is |was |could |can)?(?: ?not|not be|isn['’]t|unknown|unavailable)[^.!?]*|(?:i|we) have (?:no|not)[^.!?]*|(?:no idea|i wouldn['’]t know|unknown|not sure)(?:[^.!?]{{0,30}})?|request (?:denied|refused|declined|rejected)[^.!?]*"
         rf")(?:,? (?:i['’]m afraid|i am afraid|sorry|unfortunately))?[.!?]*",
         re.I,
@@ -208,6 +213,8 @@ _REFUSAL = {
         r"(?:(?:es )?tut mir leid|entschuldigung|leider|bedauerlicherweise|verzeihung|hallo|aber|dass|als [^.,]{0,40})?[,!:–— ]*(?:(?:leider|dass) )*(?:"
         r"(?:(?:das|diese|die|dazu|darauf|hierzu|dabei|hier) )?(?:frage )?(?:kann|können|konnte|konnten|darf|möchte|vermag|werde) (?:ich|wir|man|nicht|leider|diese|die|ihre|das|dazu|dies)[^.!?]*(?:nicht|keine|nichts)[^.!?]*"
         r"|(?:ich|wir) (?:kann|können|konnte|konnten|darf|weiß|wissen|habe|haben|finde|fand|sehe|muss|bin|sind)[^.!?]*(?:nicht|keine|nichts|ablehnen|außerstande|kein)[^.!?]*"
+        r"|(?:über|zu|zur|zum|darüber|dazu|hierzu|hierüber|darauf) [^.!?]{0,120}?(?:darf|kann|möchte|will|werde|könnte|soll) (?:ich|wir) [^.!?]*(?:nichts|nicht|keine\w*)[^.!?]*|(?:darüber|dazu|hierzu|hierüber|darauf) (?:darf|kann|möchte|will|werde) (?:ich|wir) [^.!?]*(?:nichts|nicht|keine\w*)[^.!?]*"
+        r"|(?:ich|wir) (?:möchte|würde|will|antworte|äußere|ziehe|lehne|verweigere)[^.!?]*(?:lieber nicht|nicht|vor, nicht|\bab\b|keine)[^.!?]*|(?:es ist mir|mir ist es) (?:leider )?(?:nicht|untersagt|unmöglich|verboten)[^.!?]*"
         r"|kein(?:e|en|er)? (?:\w+ ){0,2}(?:stellen?|antwort(?:en)?|informationen?|angaben?|treffer|inhalte?|abschnitte?|passagen?|ergebnis(?:se)?|hinweise?|auskunft|textstellen?)\b[^.!?]*"
         r"|(?:dazu|darüber|hierzu|es|in [^.!?]{0,60}?)\s?(?:wurde|wurden|gibt|steht|findet|ließ|liegt|liegen|ist|konnte|enthält|enthalten)[^.!?]*(?:nichts|kein\w*|nicht (?:gefunden|beantwort|enthalten|vorhanden|möglich|zu finden))[^.!?]*"
         r"|(?:die|ihre|der|das|den) (?:\w+ )?(?:dateien?|dokumente?n?|abschnitte?n?|seiten?|texte?|auswahl|unterlagen|quellen?)[^.!?]*(?:nichts|keine?\w* (?:angaben?|informationen?|antwort|hinweise?|aussagen?|auskunft)|nicht (?:erwähn|behandel|enthalt|beantwort))[^.!?]*"
@@ -219,6 +226,7 @@ _REFUSAL = {
         r"(?:(?:je suis |nous sommes )?(?:vraiment |sincèrement )?désolée?s?|malheureusement|je regrette|pardon|bonjour|hélas|mais|en tant qu[^.,]{0,40})?[,!:–— ]*(?:mais )?(?:"
         r"(?:je|nous|on) (?:ne|n['’])\s?[^.!?]*(?:pas|rien|aucune?|jamais|point)\b[^.!?]*"
         r"|(?:je|nous) (?:suis|sommes|dois|devons) [^.!?]*(?:incapable|refuser|décliner|impossible|pas en mesure)[^.!?]*"
+        r"|(?:je|nous) (?:préfère|préférons|préférerais|préférerions|aimerais|choisis|souhaite) (?:de )?ne (?:pas|rien) [^.!?]*|(?:je|nous) (?:refuse|refusons|décline|déclinons|m['’]abstiens)\b[^.!?]*|il (?:m['’]est|nous est) (?:impossible|interdit|défendu)[^.!?]*"
         r"|aucune? (?:\w+ ){0,2}(?:passages?|réponses?|informations?|résultats?|sections?|documents?|extraits?|éléments?|contenus?|mention|texte|donnée)\b[^.!?]*"
         r"|rien (?:\w+ ){0,4}(?:trouvé|à ce sujet|sur|concern)[^.!?]*|(?:il est )?impossible (?:de|d['’])\s?(?:répondre|trouver|donner|fournir)[^.!?]*"
         r"|(?:les|vos|ces|ce|le|la|cette) (?:\w+ )?(?:fichiers?|documents?|sections?|pages?|textes?|passages?|sources?|extraits?|questions?)[^.!?]*\bn(?:e\s|['’])[^.!?]*(?:pas|rien|aucune?)\b[^.!?]*|il n['’]y a (?:pas|rien|aucune?)[^.!?]*|(?:réponse )?(?:introuvable|inconnue?)"
@@ -228,6 +236,7 @@ _REFUSAL = {
     "es": re.compile(
         r"(?:lo siento(?: mucho)?|lamentablemente|desafortunadamente|por desgracia|perdón|disculpe|lamento|hola|pero|como [^.,]{0,40})?[,!:–— ]*(?:pero )?(?:"
         r"no (?:puedo|podemos|sé|sabemos|tengo|tenemos|he |hemos|encuentro|encontré|encontramos|me es posible|es posible|dispongo|se encontr|se ha |se han |se pudo|se puede responder|hay (?:\w+ ){0,2}(?:información|respuestas?|datos|pasajes?|resultados?|ningun\w*|nada|suficiente|material|contenido)|existe (?:ningun\w*|información|respuesta)|estoy (?:en condiciones|autorizad\w)|consta|aparece nada)[^.!?]*"
+        r"|(?:prefiero|preferimos|preferiría|elijo|opto por) no [^.!?]*|no (?:debo|quiero|deseo|me está|me es|nos es|voy a)\b[^.!?]*|(?:me|nos) (?:está|tienen) prohibido[^.!?]*|(?:rehúso|rechazo|declino)\b[^.!?]*"
         r"|ning(?:ún|una) (?:\w+ ){0,2}(?:pasaje|respuesta|información|sección|documento|resultado|texto|página|fragmento)\b[^.!?]*"
         r"|nada (?:\w+ ){0,3}(?:encontr|sobre|relevante|útil)[^.!?]*|(?:me )?(?:es|resulta) imposible (?:responder|contestar|ayudar|encontrar)[^.!?]*|(?:debo|tengo que) (?:rechazar|declinar)[^.!?]*"
         r"|(?:los|las|el|la|sus|estos|estas|este|esta) (?:\w+ )?(?:archivos?|documentos?|secciones|sección|páginas?|textos?|pasajes?|fuentes?|ficheros?|preguntas?)[^.!?]*\bno (?:contiene|mencion|dice|incluye|habl|trata|tiene|se puede|puede|ofrece)[^.!?]*|sin (?:respuesta|resultados|información)[^.!?]*|respuesta desconocida"
@@ -238,6 +247,8 @@ _REFUSAL = {
         r"(?:你好|您好|很?抱歉|对不起|非常抱歉|不好意思|遗憾的是|很遗憾|作为[^，。]{0,20})?[，,！!：: ]*(?:但是?)?(?:"
         r"(?:我|我们|本助手|本系统|系统)?(?:目前|暂时|现在|实在|并)?(?:无法|不能|没法|不便|不可以|拒绝|难以)(?:为您|为你|对此|就此|直接|准确)?(?:回答|提供|找到|确定|回复|帮助|帮|协助|给出|处理|作答|说明|判断|解答|查到)[^。！？]*"
         r"|(?:在?[^，。]{0,25}(?:中|里|内|上))?[，,]?(?:未|没有|没|并未|并没有|未能|没能|找不到|查不到|未曾|无|不存在|不包含|没有任何|缺少|缺乏)(?:能)?(?:找到|查到|发现|检索到|提及|提到|足够的?|相关的?|任何|有用的?|有关|匹配的?|合适的?|涉及|说明)?[^。！？]{0,25}?(?:内容|信息|答案|资料|段落|章节|结果|文档|材料|记载|说明|回答|依据|提及|涉及|找到)"
+        r"|(?:我|我们|本助手)?(?:更|还是|宁愿|宁可|选择|倾向于|希望)?(?:不想|不愿意?|不打算|不方便|不便|不宜|不予|拒绝|婉拒|无权)[^。！？]{0,12}?(?:回答|回应|答复|讨论|谈论|评论|透露|说明|提供|作答|谈)[^。！？]*"
+        r"|(?:根据|按照)[^。！？]{0,20}(?:规定|准则|政策|指南)[^。！？]{0,10}(?:不能|无法|不得|不可)[^。！？]*"
         r"|(?:我|我们)?(?:也)?(?:不知道|不清楚|不了解|不确定)[^。！？]{0,15}|(?:这个|此|该|这)?问题(?:无法|不能|没有办法)[^。！？]*|无可奉告"
         r")[。！？.!?]*"
     ),
@@ -246,6 +257,7 @@ _REFUSAL = {
         r"[^。！？]{0,40}?(?:お答え|回答|返答|対応|提供|お手伝い|お役に立|ご案内|説明|判断|応じる)[^。！？]{0,12}?(?:できません|できない|できかねます|いたしかねます|出来ません|しかねます|ことはできません|ません)"
         r"|[^。！？]{0,40}?(?:見つかりません|見つかりませんでした|見当たりません|見つけられません|見つからない|見つけることができません|確認できません)(?:でした)?"
         r"|[^。！？]{0,40}?(?:情報|記載|該当|内容|答え|回答|資料|箇所|記述|言及|データ|文書)[^。！？]{0,12}?(?:ありません|ございません|ない|存在しません|含まれていません|含まれておりません|不足しています|足りません)(?:でした)?"
+        r"|[^。！？]{0,60}?(?:お答え|回答|返答|コメント|言及|説明|発言)(?:は|を|については|に関しては)?(?:差し)?控え[^。！？]*|[^。！？]{0,60}?(?:申し上げ|お話し|お話)[^。！？]{0,10}(?:られません|できません|かねます)|[^。！？]{0,40}?(?:答えたく|答えない)[^。！？]*"
         r"|(?:私|わたし)?(?:に|は|には)?[^。！？]{0,12}?(?:わかりません|分かりません|存じません|知りません)"
         r")[。！？.!?]*"
     ),
@@ -258,6 +270,8 @@ def is_refusal(text: str) -> bool:
     parts = [p for p in parts if p and not re.fullmatch(r"[\W_]+", p)]
     declined = False
     for p in parts:
+        if len(p) > LONGEST_REFUSAL:
+            return False
         if any(r.fullmatch(p) for r in _REFUSAL.values()):
             declined = True
         elif not _COURTESY.fullmatch(p):
