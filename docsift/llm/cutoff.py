@@ -41,7 +41,8 @@ _MARKS = re.compile(r"[.…\ufffd\x00-\x08\x1a<>&;\])]|(?i:more|reading|lesen|su
 COMPLETE = re.compile(r"[.!?。！？．][\"'“”‘’»«)\]）」』】]*\Z")
 #: A last line that can't end a text: a bare list number or abbreviation.
 STUB = re.compile(r"(?:^|\n)\s*[\[(]?\d{1,4}[.)\]]?\Z|(?:^|\s)(?:Figs?|Nos?|Abb|Nr|vol|pp?|e\.g|i\.e|z\.B|bzw|cf|vs|approx)\.\Z")
-NUMBER = re.compile(r"(?:^|\s)\d+\.\Z")
+#: A number whose full stop may be a decimal point: nought, or one after a preposition.
+NUMBER = re.compile(r"(?:^|\s)(?:0|(?:at|than|below|above|to|between|and|after|for|of|by|over|under|bei|mit|von|unter|über|nach|als|à|de|entre|après|tras|a|en) \d+)\.\Z", re.I)
 _L = r"[^\W\d_]"
 #: Lines that end a text without being a sentence.
 END_MARK = re.compile(
