@@ -244,6 +244,8 @@ _VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _PAGE = re.compile(r"\W*(?:(page|pages|p|pg|seite|s|página|pág|pagina|feuille|blatt|hoja|第)\b\.?)?[^\S\n]*\W{0,3}?(\d{1,4}|[ivxlcdm]{1,7})(?:\s*(?:/|of|von|sur|de|out of)\s*(\d{1,4}))?\s*(?:頁|页|ページ)?\W*", re.I)
 _BESIDE = re.compile(r"^\W{0,3}(?:(?:page|p\.|seite)\s*)?(\d{1,4})(?:\s{2,}|\t|\s+[|–—*·•-]+\s+)(?=\S*[^\W\d_])|(?:\s{2,}|\t|\s+[|–—*·•-]+\s*|\s*[|*]\s*)(?:(?:page|p\.|seite)\s*)?(\d{1,4})\W{0,3}$", re.I)
 _BULLET = re.compile(r"\s*(?:[•·*–—-]|\d{1,3}[.)]|[a-z][.)]|\d+(?:\.\d+)+)\s+")
+#: A class of paper before a title: one or two words, the first with a capital, and a separator.
+_LABEL = re.compile(r"(?:\d{1,4}\s+(?:[|–—*·•-]\s+)?)?(?=[^\W\d_])[^a-zß-öø-ÿ\W\d_][^\W\d_]+(?: [^\W\d_]+)?\s*[:–—·|-]\s+\S")
 _STOP = re.compile(r"[.!?。！？:;,][\"'”’»)]*\s*$")
 
 
@@ -285,17 +287,18 @@ def line_features(lines: list[str], k: int, page: int | None, width: int) -> lis
     alone = not (k and lines[k - 1].strip()) and not (k + 1 < len(lines) and lines[k + 1].strip())
     flows = bool(before) and not _STOP.search(before) and after[:1].islower()
     cut = bool(before) and not re.search(r"[.!?。！？:][\"'”’»)]*$", before)
-    label = bool(re.match(r"[^\W\d_]{4,}\s*[:–—·|-]\s+\S", s)) and len(s) < 60
+    label = bool(_LABEL.match(s)) and len(s) < 70
     place = "only" if len(lines) == 1 else "first" if not before else "last" if not after else "middle"
     if mark:
         kind = "number"
     else:
         kind = "text"
-    near = [page_mark(x, None) for x in (before, after) if x]
-    numbers = sum(1 for m in near if m and not m[1])
+    near = [page_mark(x, page) for x in (before, after) if x]
+    numbers = sum(1 for m in near if m and not m[1] and not (m[0] and page))
     return [
         f"{kind} bias", f"{kind} {place}", f"{kind} alone {alone}", f"{kind} flows {flows}", f"{kind} cut {cut}", f"{kind} short {len(s) < 0.75 * width}", f"{kind} stop {bool(_STOP.search(s))}",
         f"{kind} titled {int(titled * 4)} caps {caps}", f"{kind} titled {titled >= 0.75 and len(ws) > 1} cut {cut}", f"{kind} titled {titled >= 0.75 and len(ws) > 1} alone {alone}", f"{kind} words {min(9, len(ws))}",
+        f"{kind} titled {titled >= 0.75 and len(ws) > 1} short {len(s) < 0.9 * width} stop {bool(_STOP.search(s))} bullet {bool(_BULLET.match(s))} {place}", f"{kind} titled {titled >= 0.75 and len(ws) > 1} flows {flows} bullet {bool(_BULLET.match(s))}",
         f"{kind} label {label} cut {cut} short {len(s) < 0.75 * width}", f"{kind} bullet {bool(_BULLET.match(s))}", f"{kind} beside {beside(lines[k], page) and titled >= 0.5}", f"{kind} page {mark[0] if mark else None} {page is None}",
         f"{kind} signs {mark[1] if mark else None} {page is None}", f"{kind} numbers {numbers} page {mark[0] if mark else None}", f"{kind} lower {s[:1].islower()}",
     ]
@@ -313,7 +316,7 @@ class Lines:
     def best(self, features: list[str]) -> str:
         return max(CLASSES, key=lambda c: (self.model.score([f"{c} {f}" for f in features]), c == "text"))
 
-    def train(self, texts: list[str], rng: random.Random, rounds: int = 4) -> None:
+    def train(self, texts: list[str], rng: random.Random, rounds: int = 7) -> None:
         """Wrap clean texts into lines, insert invented headers, page numbers, lists, headings and columns of figures."""
         nouns = ["Handbook", "Report", "Manual", "Minutes", "Guide", "Protocol", "Checklist", "Summary", "Plan", "Review", "Bulletin", "Notes"]
         pool = [w for t in texts for w in _PART.findall(t) if len(w) > 3][:20_000] or ["sample", "pages", "scanned"]
@@ -322,7 +325,7 @@ class Lines:
             flat = " ".join(t.split())
             if len(flat) < 150:
                 continue
-            for _ in range(3):
+            for _ in range(5):
                 examples.append(self._page(flat, pool, nouns, rng))
         for _ in range(rounds):
             rng.shuffle(examples)
@@ -353,7 +356,7 @@ class Lines:
         page = rng.choice([None, *range(1, 60), *range(1, 30)])
         number = page or rng.randint(1, 60)
         words = [rng.choice(pool) for _ in range(rng.randint(1, 3))]
-        title = rng.choice([" ".join(words).title() + " " + rng.choice(nouns), f"{rng.choice(['Internal', 'Restricted', 'Draft', 'Confidential', 'Preliminary', 'For review', 'Working copy'])}{rng.choice([' – ', ': ', ' · ', ' | '])}{' '.join(words).lower()}"])
+        title = rng.choice([" ".join(words).title() + " " + rng.choice(nouns), f"{rng.choice(['Internal', 'Restricted', 'Draft', 'Confidential', 'Preliminary', 'For review', 'Working copy', 'For comment', 'Second draft', 'Not final'])}{rng.choice([' – ', ': ', ' · ', ' | '])}{' '.join(words).lower()}"])
         title += rng.choice(["", "", f" – {rng.choice(['Issue', 'Rev.', 'Chapter', 'Volume', 'Unit', 'Part'])} {rng.randint(1, 20)}"]) + rng.choice(["", "", "", " (continued)", " *", " file", f"  rev. {rng.randint(1, 5)}"])
 
         def put(at: int, new: str, label: str) -> None:
@@ -376,6 +379,8 @@ class Lines:
             put(inside(), rng.choice(marks), "pageno")
         if rng.random() < 0.25:
             rows = [str(rng.randint(1, 999)) for _ in range(rng.randint(3, 9))]
+            if page and rng.random() < 0.6:
+                rows[rng.randrange(len(rows))] = str(page)
             lines += ["Readings of the " + rng.choice(pool) + ", one per line:", *rows]
             labels += ["text"] * (len(rows) + 1)
         if rng.random() < 0.25:
@@ -396,7 +401,6 @@ def _width(lines: list[str]) -> int:
 #: A number that its frame alone marks as a page number.
 _FRAMED = re.compile(r"(?:page|p\.|seite|página|pág\.)\s*\S+(?:\s+\S+\s+\d+)?|[–—~-]\s*\w+\s*[–—~-]|\[\s*\d+\s*\]", re.I)
 _LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{3,}")
-_LABEL = re.compile(r"[^\W\d_]{4,}\s*[:–—·|-]\s+\S")
 
 
 def furniture(lines: list[str], page: int | None, model: Lines) -> dict[int, str]:
