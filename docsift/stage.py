@@ -8,6 +8,7 @@ machine) a temporary folder takes its place.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,11 @@ class Stage:
         out._docsift_path = path
         return out
 
+    def release(self) -> None:
+        """Let shuffle files go that no live plan refers to: the driver frees them when it collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete the table behind a DataFrame that ``save`` returned."""
         path = getattr(df, "_docsift_path", None)
