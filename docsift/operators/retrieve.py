@@ -87,12 +87,38 @@ def retrieve(
         raised = boosts(sections, key, text, questions, per, question).groupBy(key).agg(F.collect_list(per).alias("_boosted"))
     base = sections.select(F.col(key).cast("long").alias(key), text, X.fingerprint(text).alias("_fp"))
     base = base.join(raised, key, "left") if raised is not None else base.withColumn("_boosted", F.expr("cast(null as array<bigint>)"))
+    return _best(base, questions, key, per, question, k, least, dedup, encode)
+
+
+def unit_rows(vectors: list[list[float]]) -> np.ndarray:
+    """Vectors of one length as rows of length 1; a zero vector stays zero."""
+    x = np.array(vectors, np.float64)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def retrieve_vectors(
+    sections: DataFrame, questions: DataFrame, key: str, vector: str, per: str, question: str, k: int = P.TOP_K, least: float = P.THRESHOLD, group: str | None = None, dim: int = 64,
+) -> DataFrame:
+    """per, key, score, rank of the k sections with the most similar stored vectors.
+
+    ``group`` names a column of which each value counts once per question.
+    Vectors of another length than ``dim`` or with missing values take no part.
+    """
+    whole = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x))
+    fp = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    base = sections.filter(whole(F.col(vector))).select(F.col(key).cast("long").alias(key), vector, fp.alias("_fp"), F.expr("cast(null as array<bigint>)").alias("_boosted"))
+    return _best(base, questions.filter(whole(F.col(question))), key, per, question, k, least, group is not None, unit_rows)
+
+
+def _best(base: DataFrame, questions: DataFrame, key: str, per: str, question: str, k: int, least: float, dedup: bool, encode) -> DataFrame:
+    """Scores of blocks of questions against (key, content, _fp, _boosted) rows, reduced to the k best per question."""
     out = None
     for ids, vectors in _blocks(questions, per, question, encode):
         part = base.mapInArrow(_scorer(base.sparkSession.sparkContext.broadcast((ids, vectors)), (per, key), k, least, dedup, encode), f"{per} long, {key} long, score double, _fp string")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = sections.sparkSession.createDataFrame([], f"{per} long, {key} long, score double, _fp string")
+        out = base.sparkSession.createDataFrame([], f"{per} long, {key} long, score double, _fp string")
     order = (F.desc("score"), F.asc(key))
     if dedup:
         out = out.withColumn("_n", F.row_number().over(W.partitionBy(per, "_fp").orderBy(*order))).filter("_n = 1").drop("_n")
@@ -105,7 +131,7 @@ def _blocks(questions: DataFrame, per: str, question: str, encode) -> Iterator[t
     ids: list[int] = []
     texts: list[str] = []
     for r in questions.select(per, question).filter(F.col(per).isNotNull()).toLocalIterator():
-        if not (r[1] or "").strip():
+        if r[1] is None or isinstance(r[1], str) and not r[1].strip():
             continue
         ids.append(r[0])
         texts.append(r[1])

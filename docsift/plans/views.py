@@ -12,7 +12,6 @@ from docsift.functions.lists import list_items_udf
 from docsift.operators import answer as A
 from docsift.operators import retrieve as R
 from docsift.operators import store as S
-from docsift.operators.embed import cosine
 from docsift.plans import base as B
 from docsift.plans.base import cte, t
 from docsift.sources.tables import table
@@ -120,21 +119,20 @@ def vector_topk(s, d):
     return out.select("vec_id", F.round("score", 6).alias("score"))
 
 
-def _vector_scores(s, d) -> DataFrame:
-    """The vectors of the first twenty keys against all: a stated query set of fixed size."""
+def _vector_batch(s, d, group: str | None) -> DataFrame:
+    """Vectors whose key is divisible by twenty as questions against all vectors."""
     v = table(s, d, "embeddings", ["vec_id", "embedding", "label"])
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.join(F.broadcast(q)).select("query_id", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    out = R.retrieve_vectors(v, q, "vec_id", "embedding", "query_id", "q", group=group)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
 def vector_topk_batch(s, d):
-    out = R.ranked(_vector_scores(s, d), "query_id", "vec_id", None, P.TOP_K)
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+    return _vector_batch(s, d, None)
 
 
 def vector_topk_dedup(s, d):
-    out = R.ranked(_vector_scores(s, d).withColumn("label_text", F.concat(F.lit("Label "), F.col("label").cast("string"))), "query_id", "vec_id", "label_text", P.TOP_K)
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+    return _vector_batch(s, d, "label")
 
 
 def scoped_topk(s, d):
@@ -243,7 +241,7 @@ affected AS (SELECT DISTINCT query_id FROM r WHERE section_id IN (SELECT section
 kept AS (SELECT * FROM r WHERE section_id IS NULL OR section_id NOT IN (SELECT section_id FROM lost)),
 orphans AS (SELECT query_id FROM affected WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.query_id = affected.query_id))
 """
-_VEC = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS f FROM v WHERE vec_id < 20),
+_VEC = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS f FROM v WHERE vec_id % 20 = 0),
 sc AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(e, f), 9) AS score FROM v, q)
 """
 _RET = f"""{cte('document_section', 'retrieval_result', 'user_query')},
