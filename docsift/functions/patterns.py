@@ -10,7 +10,7 @@ AFTER_SENTENCE = r"(?U)(?<=[.?!])\s+"
 AFTER_SENTENCE_SHOWN = r"(?U)(?<=[.!?])\s+"
 
 REPLACEMENT = ("�", "")
-BULLETS = ("[▯□●▪▸❖❑✓✗•‣⁃]", "• ")
+BULLETS = ("[\u25af\u25a1\u25cf\u25aa\u25b8\u2756\u2751\u2713\u2717\u2022\u2023\u2043\uf0a7\uf0b7\uf0a8\uf0fc\uf0a4\uf0d8]", "• ")
 NUMBER_LINES = (r"(?Umd)^\s*\d{1,3}\s*$", "")
 SITE_MARKS = (r"(?U)\s*\([AB]\)\s*", " ")
 LEADING_NUMBER = (r"(?U)^\d{1,3}\s+(?=[A-Z])", "")

@@ -61,7 +61,7 @@ def _rules(x: str) -> str:
     return strip(rf"regexp_replace({x}, '{WS}+([.,;:!?])', '\1', 'g')")
 
 
-_BULLETS = "[▯□●▪▸❖❑✓✗•‣⁃]"
+_BULLETS = "[\u25af\u25a1\u25cf\u25aa\u25b8\u2756\u2751\u2713\u2717\u2022\u2023\u2043\uf0a7\uf0b7\uf0a8\uf0fc\uf0a4\uf0d8]"
 
 
 def clean_ingest(x: str) -> str:

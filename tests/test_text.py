@@ -9,7 +9,7 @@ from docsift.operators import chunk as C
 from docsift.operators import store as S
 
 BOTH = [
-    ("● one ● two", "• one • two"), ("Keys (A) are used", "Keys are used"), ("MALICI OUS soft ware", "malicious software"), ("Fire wall and e -mail", "Firewall and email"),
+    ("● one ● two", "• one • two"), ("\uf0b7 one \uf0d8 two", "• one • two"), ("Keys (A) are used", "Keys are used"), ("MALICI OUS soft ware", "malicious software"), ("Fire wall and e -mail", "Firewall and email"),
     ("word - word", "word-word"), ("a - b - c", "a-b - c"), ("x -5", "x-5"), ("infor-\nmation", "infor-mation"), ("end .  Next ,ok", "end. Next,ok"), ("�x", "x"), ("café - bar", "café-bar"), (None, ""), ("", ""),
 ]
 
