@@ -47,9 +47,9 @@ PER_LEAF = 7
 #: The same where whole neighbour lists are wanted, not only close pairs.
 FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF = 20, 4, 12, 16_384
 #: The graph that searches walk on; the walk makes up for a quicker build.
-WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF = 20, 4, 6, 8192
+WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF = 20, 2, 6, 8192
 #: Graph search: entry nodes, kept candidates, and how many of them a step opens, until no query opens any.
-ENTRIES, BEAM, WIDTH, STEPS = 128, 48, 6, 16
+ENTRIES, BEAM, WIDTH, STEPS = 128, 48, 12, 12
 #: Vectors that the trees are fitted on, and the depth to which that many can balance them.
 SAMPLE, FITTED_DEPTH = 20_000, 11
 #: How far 8-bit similarities may be off; edges this near a threshold are computed again.
