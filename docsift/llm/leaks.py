@@ -2,10 +2,10 @@
 
 The passages are a stated query set, held as hashes of their word n-grams in
 blocks of at most ``BLOCK_WORDS`` words, so what a block broadcasts is bounded
-and a larger set only takes more passes.  A first pass counts in how many
-documents each n-gram of the block occurs; all rare n-grams become seeds, and
-the rarest of every ``RUN``-word window even if it is not rare, so any run of
-``RUN`` words of a passage holds a seed.  A second pass joins seeds to documents and aligns passage and
+and a larger set only takes more passes.  Every word n-gram of a passage is a
+seed, however many documents hold it, so any ``GRAM`` words in a row that a
+document shares with a passage are met.  One pass over the documents a block
+joins seeds to documents, merges near shifts of a passage and aligns passage and
 surroundings by Smith-Waterman over words, which also scores edited copies; the
 longest exact run is read off the same matrix.  Document texts are never
 shuffled.
@@ -18,8 +18,6 @@ result.  Only the named columns are read.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,9 +26,9 @@ from pyspark.sql import functions as F
 from docsift.llm.words import WORD, by_batch, words
 
 GRAM, RUN = 6, 15
-#: An n-gram in at most so many documents, or this share of them, is rare.
-RARE_DOCS, RARE_SHARE = 20, 1e-5
 BLOCK_WORDS = 1_000_000
+#: Shifts, and words of a row of alignments, that are held at once.
+SHIFTS, CELLS = 1_000_000, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Words beyond the passage's ends that are aligned too.
 PAD = 12
@@ -59,26 +57,16 @@ class Passages:
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.number: dict[str, int] = {}
         self.items = [(i, np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64)) for i, ws in items]
+        self.length = np.array([len(ids) for _, ids in self.items], np.int64)
         hashes = [gram_hashes(ids) for _, ids in self.items]
-        self.grams = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
-        self.grams = self.grams[self.grams > 0]
-        self.hashes = hashes
-
-    def choose(self, df: np.ndarray, docs: int) -> None:
-        """Keep as seeds all rare n-grams and the rarest of each window of RUN words. df: documents with each of ``grams``."""
-        rare_at_most = max(RARE_DOCS, int(docs * RARE_SHARE))
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, h in enumerate(self.hashes):
-            if not len(h):
-                continue
-            count = df[np.searchsorted(self.grams, h)]
-            wide = max(1, min(RUN, len(self.items[k][1])) - GRAM + 1)
-            chosen = {min(range(s, s + wide), key=lambda p: (count[p], h[p])) for s in range(len(h) - wide + 1)}
-            rare = {int(h[p]) for p in range(len(h)) if p in chosen or count[p] <= rare_at_most}
-            for p in range(len(h)):
-                if int(h[p]) in rare:
-                    self.at[int(h[p])].append((k, p))
-        self.seeds = np.array(sorted(self.at), np.uint64)
+        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        place = np.concatenate([*(np.arange(len(x)) for x in hashes), np.zeros(0, np.int64)])
+        order = np.argsort(h, kind="stable")
+        #: Places in passages by n-gram: those of grams[g] are first[g] to first[g + 1].
+        self.grams, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h))
+        self.item, self.place = item[order], place[order]
 
 
 def _numbers(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,41 +116,70 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return score, run
 
 
-def _leaks_of_batch(keys: list[int], texts: list[str | None], index: Passages) -> tuple[list, list, list, list, list]:
+def _jobs(index: Passages, starts: np.ndarray, doc: np.ndarray, pos: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Document, passage, begin and end of each stretch to align: shifts of a passage at most PAD apart are one.  Last, its longest run of words in step."""
+    n = index.first[which + 1] - index.first[which]
+    at = np.repeat(index.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item, d, pos = index.item[at], np.repeat(doc, n), np.repeat(pos, n)
+    shift = pos - index.place[at]
+    order = np.lexsort((pos, shift, item, d))
+    item, d, shift, pos = item[order], d[order], shift[order], pos[order]
+    other = (d[1:] != d[:-1]) | (item[1:] != item[:-1])
+    broken = np.append(True, other | (shift[1:] != shift[:-1]) | (pos[1:] - pos[:-1] != 1))
+    every = np.arange(len(d))
+    step = every - np.maximum.accumulate(np.where(broken, every, 0)) + GRAM
+    new = np.flatnonzero(other | (shift[1:] - shift[:-1] > PAD)) + 1
+    first, last = np.append(0, new), np.append(new, len(d)) - 1
+    d, item, step = d[first], item[first], np.maximum.reduceat(step, first)
+    return np.stack([d, item, np.maximum(starts[d], shift[first] - PAD), np.minimum(starts[d + 1] - GRAM, shift[last] + index.length[item] + PAD), step], 1)
+
+
+def _within_reach(jobs: np.ndarray, index: Passages, ids: np.ndarray, run: int, coverage: float) -> np.ndarray:
+    """The jobs that have a run of so many words, or enough words of the passage for the coverage in any order."""
+    keep = jobs[:, 4] >= run
+    if coverage <= 1:
+        mark = np.full(len(index.number) + 1, -1, np.int64)
+        for j in np.flatnonzero(~keep).tolist():
+            _, i, a, b, _ = jobs[j].tolist()
+            mark[ids[a:b]] = j
+            mark[0] = -1
+            own = index.items[i][1]
+            keep[j] = np.count_nonzero(mark[own] == j) >= coverage * len(own)
+    return jobs[keep]
+
+
+def _leaks_of_batch(keys: list[int], texts: list[str | None], index: Passages, least_run: int = 0, least_coverage: float = 0.0) -> tuple[list, list, list, list, list]:
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     ids, starts = _numbers(texts, index.number)
-    pos, which = _hits(ids, index.seeds)
-    if not len(pos):
-        return out
+    pos, which = _hits(ids, index.grams)
     doc = np.searchsorted(starts, pos, "right") - 1
-    shifts: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for d, p, s in zip(doc.tolist(), pos.tolist(), which.tolist()):
-        for k, q in index.at[int(index.seeds[s])]:
-            shifts[d, k].add(p - q)
-    jobs = []
-    for (d, k), begins in shifts.items():
-        m = len(index.items[k][1])
-        ordered = sorted(begins)
-        first = last = ordered[0]
-        for s in ordered[1:] + [None]:
-            if s is not None and s - last <= PAD:
-                last = s
-                continue
-            jobs.append((d, k, max(starts[d], first - PAD), min(starts[d + 1] - GRAM, last + m + PAD)))
-            if s is not None:
-                first = last = s
-    jobs.sort(key=lambda j: (len(index.items[j[1]][1]), j[3] - j[2]))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for i in range(0, len(jobs), 256):
-        part = jobs[i : i + 256]
-        score, run = align([(index.items[k][1], ids[a:b]) for _, k, a, b in part])
-        for (d, k, _, _), s, r in zip(part, score.tolist(), run.tolist()):
-            old = best.get((d, k), (0, 0))
-            best[d, k] = (max(old[0], s), max(old[1], r))
-    for (d, k), (s, r) in best.items():
-        item, ws = index.items[k]
-        for col, v in zip(out, (keys[d], item, r, s, s / (MATCH * len(ws)))):
-            col.append(v)
+    # whole documents with about SHIFTS shifts at a time
+    before = np.cumsum(index.first[which + 1] - index.first[which]) // SHIFTS
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else []
+    begin = 0
+    for k, end in enumerate(ends):
+        if k + 1 < len(ends) and before[ends[k + 1] - 1] == before[begin]:
+            continue
+        jobs = _jobs(index, starts, doc[begin:end], pos[begin:end], which[begin:end])
+        begin = end
+        jobs = _within_reach(jobs, index, ids, least_run, least_coverage)
+        jobs = jobs[np.lexsort((jobs[:, 3] - jobs[:, 2], index.length[jobs[:, 1]]))]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        part: list[list[int]] = []
+        wide = 0
+        for job in [*jobs.tolist(), None]:
+            wide = max(wide, job[3] - job[2]) if job else wide
+            if part and (not job or len(part) == 256 or (len(part) + 1) * wide > CELLS):
+                score, run = align([(index.items[i][1], ids[a:b]) for _, i, a, b, _ in part])
+                for (d, i, _, _, _), s, r in zip(part, score.tolist(), run.tolist()):
+                    old = best.get((d, i), (0, 0))
+                    best[d, i] = (max(old[0], s), max(old[1], r))
+                part, wide = [], job[3] - job[2] if job else 0
+            part.append(job)
+        for (d, i), (s, r) in best.items():
+            item, ws = index.items[i]
+            for col, v in zip(out, (keys[d], item, r, s, s / (MATCH * len(ws)))):
+                col.append(v)
     return out
 
 
@@ -185,40 +202,20 @@ def _blocks(items: DataFrame, key: str, passage: str) -> list[list[tuple[int, li
 LEAK = "doc_id long, item_id long, run int, score int, coverage double"
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage") -> DataFrame:
-    """doc_id, item_id, run (longest exact run in words), score and coverage (score over that of the whole passage) of each seeded pair."""
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", least_run: int = 0, least_coverage: float = 0.0) -> DataFrame:
+    """doc_id, item_id, run (longest exact run in words), score and coverage (score over that of the whole passage) of each seeded pair.
+
+    With limits, of the pairs that reach ``least_run`` or ``least_coverage`` (over 1: only the run counts); others that can't are not aligned.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).filter("doc_id is not null and t is not null")
     out = spark.createDataFrame([], LEAK)
     for block in _blocks(items, item_key, passage):
-        index = Passages(block)
-        shared = spark.sparkContext.broadcast(index)
-
-        def count(shared=shared):
-            def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-                index = shared.value
-                ids, starts = _numbers(batch.column(0).to_pylist(), index.number)
-                pos, which = _hits(ids, index.grams)
-                doc = np.searchsorted(starts, pos, "right") - 1
-                grams, n = np.unique(np.unique(np.stack([doc, which], 1), axis=0)[:, 1], return_counts=True)
-                # documents are counted under -1
-                return pa.RecordBatch.from_arrays([pa.array([-1, *grams], pa.int64()), pa.array([batch.num_rows, *n], pa.int64())], ["g", "n"])
-
-            return run
+        shared = spark.sparkContext.broadcast(Passages(block))
 
-        counted = by_batch(rows.select("t"), count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        df, total = np.zeros(len(index.grams), np.int64), 0
-        for r in counted.collect():  # at most BLOCK_WORDS rows
-            if r.g < 0:
-                total = r.n
-            else:
-                df[r.g] = r.n
-        index.choose(df, total)
-        chosen = spark.sparkContext.broadcast(index)
-
-        def match(chosen=chosen):
+        def match(shared=shared):
             def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-                cols = _leaks_of_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist(), chosen.value)
+                cols = _leaks_of_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.value, least_run, least_coverage)
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "run", "score", "coverage"])
 
@@ -226,9 +223,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
         out = out.unionByName(by_batch(rows, match, LEAK))
     best = F.max(F.struct("run", "score", "coverage")).alias("b")
+    out = out.filter((F.col("run") >= least_run) | (F.col("coverage") >= least_coverage))
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs with at least RUN consecutive words in common."""
-    return leaks(docs, items).filter(F.col("run") >= RUN).select("doc_id", "item_id")
+    return leaks(docs, items, least_run=RUN, least_coverage=2.0).filter(F.col("run") >= RUN).select("doc_id", "item_id")

@@ -61,7 +61,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a long exact run of a passage, or with at least half of it in edited form."""
-    found = leaks.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_item"))
+    found = leaks.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_item"), least_run=leaks.RUN, least_coverage=0.5)
     return found.filter((found.run >= leaks.RUN) | (found.coverage >= 0.5))
 
 

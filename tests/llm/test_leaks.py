@@ -43,3 +43,20 @@ def test_edited_copy_and_odd_input(spark):
     assert set(got) == {(1, 7), (4, 7)}
     assert got[4, 7].coverage == 1.0 and got[4, 7].run == 23 and 0.7 < got[1, 7].coverage < 1 and got[1, 7].run < 15
     assert L.found(docs, items.limit(0)).count() == 0 and L.found(docs.limit(0), items).count() == 0
+
+
+def test_edited_copy_in_many_documents(spark):
+    passage = [f"p{i}" for i in range(42)]
+    edited = " ".join(f"x{i}" if i % 7 == 6 else w for i, w in enumerate(passage))  # runs of six words
+    docs = spark.createDataFrame([(d, f"d{d} begins {edited} and ends") for d in range(50)], "doc_id long, text string")
+    got = L.leaks(docs, spark.createDataFrame([(7, " ".join(passage))], "item_id long, passage string")).collect()
+    assert {r.doc_id for r in got} == set(range(50)) and all(r.run == 6 and r.coverage > 0.5 for r in got)
+
+
+def test_many_shifts(monkeypatch):
+    index = L.Passages([(i, f"a b c d e f g h i j k{i}".split()) for i in range(20)])
+    texts = ["a b c d e f g h i j k3", None, "x", *["y a b c d e f g"] * 9, "a b c d e f g h i j k7 " * 30]
+    want = L._leaks_of_batch(list(range(len(texts))), texts, index)
+    monkeypatch.setattr(L, "SHIFTS", 50)
+    monkeypatch.setattr(L, "CELLS", 40)
+    assert sorted(zip(*L._leaks_of_batch(list(range(len(texts))), texts, index))) == sorted(zip(*want)) and len(want[0]) == 11 * 20
