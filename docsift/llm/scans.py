@@ -509,7 +509,7 @@ def examine(text: str | None, page: int | None, editor: Editor, lines_model: Lin
 
 
 def lexicon(df: DataFrame, text: str = "section_text") -> dict[str, int]:
-    """Counts of the most frequent words and hyphenated words over all rows."""
+    """Counts of the most frequent words and hyphenated words over the distinct texts, so copies don't vote their misreadings in."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -523,7 +523,7 @@ def lexicon(df: DataFrame, text: str = "section_text") -> dict[str, int]:
 
         return run
 
-    counts = by_batch(df.select(F.col(text)).filter(F.col(text).isNotNull()), make, "w string, n long").filter(F.length("w") <= LONGEST)
+    counts = by_batch(df.select(F.col(text)).filter(F.col(text).isNotNull()).distinct(), make, "w string, n long").filter(F.length("w") <= LONGEST)
     counted = Stage(df.sparkSession, "scans").save(counts.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
     # the count from which at most LEXICON words are kept, so that no more than these reach the driver
     least, kept = 2, 0

@@ -76,3 +76,9 @@ def test_frame(spark, frame, rows):
     assert {tuple(r) for r in S.found(df).collect()} == {(900, "hyphen")}
     assert [r.repaired for r in S.repaired(df).collect()] == ["Because the machine is limited the operator measured the temperature."]
     assert S.found(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_vote(spark, frame):
+    text = "Before the rnachine is lirnited the ternperature of the charnber is measured."
+    copies = spark.createDataFrame([(i, text, None) for i in range(1000, 1040)], "section_id long, section_text string, page_number int")
+    assert {tuple(r) for r in S.found(frame.union(copies)).collect()} == {(i, "chars") for i in range(1000, 1040)}
