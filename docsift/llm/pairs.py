@@ -399,6 +399,8 @@ def verdict(question: str | None, answer: str | None) -> tuple[str | None, str |
     return None, opening(last), ws[-1], " ".join(ws[-2:])
 
 
+#: Last words of more than one unfinished text, and of more than this share of all texts, end phrases.
+CLOSING = 1e-5
 JUDGED = "answer_id long, defect string, opening string, last string, tail string, words int"
 STATS = "kind string, item string, ended int, n long"
 
@@ -419,13 +421,13 @@ def _judge(pairs: DataFrame) -> DataFrame:
 
 
 def _statistics(answers: DataFrame) -> DataFrame:
-    """Openings of finished and unfinished sentences, words that aren't last and pairs of words that are or aren't, counted over all answers."""
+    """Openings of finished and unfinished sentences, words that aren't last and pairs of words that are or aren't, counted over the distinct answer texts."""
 
     def make():
         from collections import Counter
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            seen: Counter = Counter()
+            seen: Counter = Counter({("texts", "", 1): batch.num_rows})
             for a in batch.column(0).to_pylist():
                 if not a:
                     continue
@@ -448,7 +450,7 @@ def _statistics(answers: DataFrame) -> DataFrame:
 
         return run
 
-    return by_batch(answers.select("answer_text"), make, STATS).groupBy("kind", "item").agg(
+    return by_batch(answers.select("answer_text").distinct(), make, STATS).groupBy("kind", "item").agg(
         F.sum(F.when(F.col("ended") == 1, F.col("n")).otherwise(0)).alias("ended"), F.sum(F.when(F.col("ended") == 0, F.col("n")).otherwise(0)).alias("open")
     )
 
@@ -473,8 +475,10 @@ def defects(answers: DataFrame, questions: DataFrame) -> DataFrame:
     lengths = F.sequence(F.lit(1), F.length("item") - 1)
     begun = words.filter(F.length("item") > 1).select(F.explode(F.transform(lengths, lambda i: F.substring("item", F.lit(1), i))).alias("last"))
     begun = begun.distinct().withColumn("begun", F.lit(True))
-    # words that end several unfinished answers and stand nowhere else end a phrase
-    closing = stats.filter("kind = 'tail' and ended = 0 and open > 1").select(F.col("item").alias("tail"), F.lit(True).alias("closing"))
+    # words that end several unfinished texts and stand nowhere else end a phrase
+    texts = stats.filter("kind = 'texts'").first()
+    least = max(1, int(CLOSING * texts.ended)) if texts else 1
+    closing = stats.filter(f"kind = 'tail' and ended = 0 and open > {least}").select(F.col("item").alias("tail"), F.lit(True).alias("closing"))
     out = judged.join(closing, "tail", "left").join(opens, "opening", "left").join(known, "last", "left").join(begun, "last", "left")
     cut_word = F.col("begun") & F.col("known").isNull() & F.col("last").rlike(r"^\p{L}+$") & (F.col("words") > 2)
     sentence = F.col("opening").isNotNull() & F.col("closing").isNull() & (F.col("words") >= 5) & (F.coalesce("ended", F.lit(0)) > 2 * F.coalesce("open", F.lit(0)))

@@ -50,3 +50,11 @@ def test_statistics_decide_lone_phrases(spark):
     a = spark.createDataFrame(whole + odd, "answer_id long, query_id long, answer_text string")
     q = spark.createDataFrame([(1, Q)], "query_id long, query_text string")
     assert {r.answer_id for r in P.defects(a, q).collect()} == {100, 102}
+
+
+def test_copies_of_a_truncated_answer(spark):
+    whole = [(i, 1, f"The pump number {i} moves the water of the tank to the boiler.") for i in range(8)]
+    cut = [(i, 1, "The pump moves the water towards some distant vessel") for i in range(20, 30)]
+    answers = spark.createDataFrame(whole + cut, "answer_id long, query_id long, answer_text string")
+    questions = spark.createDataFrame([(1, "What does the pump do?")], "query_id long, query_text string")
+    assert {tuple(r) for r in P.defects(answers, questions).collect()} == {(i, "truncated") for i in range(20, 30)}
