@@ -4,9 +4,16 @@ Lengths of each source are treated as survival times, in code points, in bytes
 and in code points without what was appended to the cut.  Window functions give
 the discrete hazard of each length and that of its neighbours; a Poisson tail
 bound tests one against the other, with Benjamini-Hochberg control inside each
-source and unit.  Every text whose ending is plainly inside a word or sentence
-is reported; endings that could be either (a list entry, a bare number with a
-full stop) are reported only at a significant length.
+source and unit.  A text with an incomplete ending is reported if it ends at a
+significant length of its source.  This includes endings that could be either
+(a list entry, a bare number with a full stop), where hardly any text has that
+length by chance.
+
+Transfers break at any length, so the incomplete endings that remain have a
+hazard of their own: per source, their number among its texts is tested against
+the share that the judgement of endings may get wrong, again with
+false-discovery control, over the sources.  Plainly incomplete endings of the
+sources that pass are reported too.  No ending is reported without a test.
 
 Defined results: null and blank texts are not cut; a null source is a source of
 its own; repeated keys are one document; a null key is not reported; empty
@@ -18,7 +25,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,8 +33,15 @@ from docsift.llm.words import by_batch
 from docsift.stage import Stage
 
 NEIGHBOURS, FALSE_DISCOVERY = 40, 0.001
-#: Characters of the ending that are judged; longer last lines are prose anyway.
-TAIL = 800
+#: An ending that could be either needs a length that at most this share of its texts have by chance.
+BY_CHANCE = 0.05
+#: Broken transfers: share of whole texts whose ending may be misjudged, and the false discoveries allowed among sources.
+MISJUDGED, SOURCE_DISCOVERY = 0.001, 0.05
+#: Sources are ranked by -log p in classes of this width, up to the given number of them.
+CLASS, CLASSES = 0.05, 8000
+UNITS = ("chars", "bytes", "own")
+#: The patterns of endings below span fewer characters than this.
+SPAN = 400
 
 #: What transfers and sites append to a cut text.
 APPENDED = re.compile(
@@ -60,26 +74,27 @@ def judge(text: str | None) -> tuple[str, int]:
     """(kind, own length): whole, cut or doubtful, and the length without what was appended."""
     if not text:
         return "whole", 0
-    core = text[-TAIL:].rstrip()
-    ahead = len(text) - min(len(text), TAIL)
+    core = text.rstrip()
     if _MARKS.search(core, max(0, len(core) - 90)):
         while (m := APPENDED.search(core, max(0, len(core) - 200))) and m.start() < len(core):
             core = core[: m.start()].rstrip()
-    own = ahead + len(core)
+    own = len(core)
     if not core:
         return "whole", own
-    if STUB.search(core):
+    near = max(0, own - SPAN)
+    if STUB.search(core, near):
         return "doubtful", own
-    if COMPLETE.search(core):
-        return ("doubtful" if NUMBER.search(core) else "whole"), own
-    head, _, last = core.rpartition("\n")
-    last = last.strip()
-    blank = not head.rpartition("\n")[2].strip()
-    before = head.rstrip().rpartition("\n")[2].strip()
+    if COMPLETE.search(core, near):
+        return ("doubtful" if NUMBER.search(core, near) else "whole"), own
+    at = core.rfind("\n") + 1
+    last = core[at:].strip()
+    above = core[:at].rstrip()
+    before = above[above.rfind("\n") + 1 :].strip()
+    blank = core[len(above) : at].count("\n") > 1 or not above
     if SIGN.fullmatch(last) and (SIGN.fullmatch(before) or _HEADING.search(before)):
         word = _WORD.findall(last)[-1].lower() if core[-1].isalpha() else ""
         if word:
-            told = text[: own - len(last)].lower()
+            told = core[:at].lower()
             seen = re.search(rf"(?<![^\W\d_]){re.escape(word)}(?![^\W\d_])", told)
             if not seen and re.search(rf"(?<![^\W\d_]){re.escape(word)}[^\W\d_]", told):
                 return "cut", own
@@ -113,10 +128,10 @@ def endings(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return _ending(df, key, text, source).groupBy("doc_id").agg(F.max(rest).alias("r")).select("doc_id", "r.*")
 
 
-def hazards(ends: DataFrame) -> DataFrame:
+def hazards(ends: DataFrame, units: tuple[str, ...] = UNITS) -> DataFrame:
     """source, unit, size, ended, at_risk, expected, log_p, significant: the hazard test of every length."""
-    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("size")) for u in ("chars", "bytes", "own")]))
-    counts = ends.select("source", units.alias("u")).select("source", "u.*").filter("size > 0").groupBy("source", "unit", "size").agg(F.count("*").alias("ended"))
+    measures = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("size")) for u in units]))
+    counts = ends.select("source", measures.alias("u")).select("source", "u.*").filter("size > 0").groupBy("source", "unit", "size").agg(F.count("*").alias("ended"))
     family = W.partitionBy("source", "unit")
     falling = family.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, 0)
     near = family.orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
@@ -124,27 +139,53 @@ def hazards(ends: DataFrame) -> DataFrame:
     # exposure of the neighbouring lengths; half an ending more keeps an empty neighbourhood from a hazard of nought
     exposure = 2 * NEIGHBOURS * F.col("at_risk") + F.col("around") * NEIGHBOURS / 2.0
     rows = rows.withColumn("expected", F.col("at_risk") * (F.col("around") + 0.5) / exposure)
-    d, e = F.col("ended"), F.col("expected")
-    rows = rows.withColumn("log_p", F.when(d > e, -(d * F.log(d / e) - d + e)).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("log_p", _log_p(F.col("ended"), F.col("expected")))
     ranked = rows.withColumn("tests", F.count("*").over(family)).withColumn("nth", F.row_number().over(family.orderBy("log_p", "size")))
     passes = F.col("log_p") <= F.log(F.lit(FALSE_DISCOVERY) * F.col("nth") / F.col("tests"))
     ranked = ranked.withColumn("limit", F.max(F.when(passes, F.col("nth"))).over(family))
-    significant = F.coalesce(F.col("nth") <= F.col("limit"), F.lit(False)) & (F.col("ended") >= 3)
+    significant = F.coalesce(F.col("nth") <= F.col("limit"), F.lit(False))
     return ranked.select("source", "unit", "size", "ended", "at_risk", "expected", "log_p", significant.alias("significant"))
 
 
+def _log_p(seen: Column, expected: Column) -> Column:
+    """Logarithm of the Chernoff bound of a Poisson tail."""
+    return F.when(seen > expected, -(seen * F.log(seen / expected) - seen + expected)).otherwise(F.lit(0.0))
+
+
+def transfers(known: DataFrame) -> DataFrame:
+    """source, broken, documents, expected, log_p, significant: the test of the incomplete endings away from limits, per source.
+
+    known: source, kind, at_limit.  The false-discovery rank of a source is
+    counted over classes of p, a table of fixed size, so no task sees all sources.
+    """
+    per = known.groupBy("source").agg(F.count("*").alias("documents"), F.count_if((F.col("kind") == "cut") & ~F.col("at_limit")).alias("broken"))
+    per = per.withColumn("expected", F.col("documents") * F.lit(MISJUDGED)).withColumn("log_p", _log_p(F.col("broken"), F.col("expected")))
+    per = per.withColumn("class", F.least(F.floor(-F.col("log_p") / CLASS), F.lit(CLASSES)).cast("int"))
+    classes = per.groupBy("class").agg(F.count("*").alias("n"))
+    falling = W.orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, 0)
+    total = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = classes.withColumn("nth", F.sum("n").over(falling)).withColumn("tests", F.sum("n").over(total))
+    passing = ranked.filter(-F.col("class") * CLASS <= F.log(F.lit(SOURCE_DISCOVERY) * F.col("nth") / F.col("tests"))).agg(F.min("class").alias("least"))
+    out = per.join(F.broadcast(passing))  # one row
+    return out.select("source", "broken", "documents", "expected", "log_p", F.coalesce((F.col("class") >= F.col("least")) & (F.col("broken") > 0), F.lit(False)).alias("significant"))
+
+
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, kind, at_limit, cut for every document."""
-    ends = Stage(df.sparkSession, "cutoff").save(endings(df, key, text, source), "endings")
-    limits = hazards(ends).filter("significant").select(F.col("source").alias("s"), "unit", "size")
-    doubtful = ends.filter("kind = 'doubtful'")
-    at = [
-        doubtful.join(limits.filter(F.col("unit") == u), F.col("source").eqNullSafe(F.col("s")) & (F.col(u) == F.col("size")), "left_semi").select("doc_id")
-        for u in ("chars", "bytes", "own")
-    ]
-    hits = at[0].union(at[1]).union(at[2]).distinct().withColumn("at_limit", F.lit(True))
-    known = ends.join(hits, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    return known.select("doc_id", "source", "kind", "at_limit", ((F.col("kind") == "cut") | F.col("at_limit")).alias("cut"))
+    """doc_id, source, kind, at_limit, broken, cut for every document; at_limit and broken name the test that decided."""
+    stage = Stage(df.sparkSession, "cutoff")
+    ends = stage.save(endings(df, key, text, source), "endings")
+    limits = stage.save(hazards(ends).filter("significant").select(F.col("source").alias("s"), "unit", "size", (F.col("expected") <= BY_CHANCE * F.col("ended")).alias("sure")), "limits")
+    known = ends
+    for u in UNITS:
+        own = limits.filter(F.col("unit") == u).select("s", F.col("size").alias("_size"), F.when(F.col("sure"), 2).otherwise(1).alias(f"at_{u}"))
+        known = known.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col(u) == F.col("_size")), "left").drop("s", "_size")
+    at = F.greatest(*[F.coalesce(F.col(f"at_{u}"), F.lit(0)) for u in UNITS])
+    at_limit = at >= F.when(F.col("kind") == "cut", 1).when(F.col("kind") == "doubtful", 2)
+    known = stage.save(known.select("doc_id", "source", "kind", F.coalesce(at_limit, F.lit(False)).alias("at_limit")), "known")
+    sources = transfers(known).filter("significant").select(F.col("source").alias("s"), F.lit(True).alias("_broken"))
+    out = known.join(sources, F.col("source").eqNullSafe(F.col("s")), "left")
+    broken = F.coalesce(F.col("_broken"), F.lit(False)) & (F.col("kind") == "cut") & ~F.col("at_limit")
+    return out.select("doc_id", "source", "kind", "at_limit", broken.alias("broken"), (F.col("at_limit") | broken).alias("cut"))
 
 
 def found(df: DataFrame) -> DataFrame:
@@ -153,6 +194,7 @@ def found(df: DataFrame) -> DataFrame:
 
 
 def rates(df: DataFrame) -> DataFrame:
-    """source, documents, truncated, share: how often each source truncates."""
-    out = judged(df).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("cut").cast("long")).alias("truncated"))
+    """source, documents, truncated, at_limit, broken, share: how often each source truncates, at limits and in transfers."""
+    count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    out = judged(df).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("cut").cast("long")).alias("truncated"), count("at_limit"), count("broken"))
     return out.withColumn("share", F.round(F.col("truncated") / F.col("documents"), 6))

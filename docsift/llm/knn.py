@@ -257,7 +257,6 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree
         log.info("round changed %d of %d edges", fresh, count * degree)
         stage.drop(graph)
         graph = merged
-        stage.spark.sparkContext._jvm.System.gc()  # lets shuffle files of this round go
         if fresh <= changed * count * degree:
             break
     return graph
@@ -359,7 +358,6 @@ def greedy_search(found: Neighbours, queries: DataFrame, k: int) -> DataFrame:
         stage.drop(state)
         stage.drop(now)
         state = following
-        stage.spark.sparkContext._jvm.System.gc()  # lets shuffle files of this step go
     return state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("i", "j", "s")
 
 

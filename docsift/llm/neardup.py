@@ -237,18 +237,14 @@ def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: flo
     rows = stage.save(sketched(df, key, text, n, min_words), "sketched")
     head = F.min(F.struct("k", "n", "tokens", "lo", "hi")).alias("r")
     reps = stage.save(rows.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several")), "reps")
-    stage.release()
     found = stage.save(candidates(reps, stage, similarity), "candidates")
-    stage.release()
     wanted = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     sets = stage.save(_sets(df, wanted, key, text, n, min_words), "sets")
-    stage.release()
     both = found.join(sets.withColumnsRenamed({"k": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"k": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     value = common / (F.size("sa") + F.size("sb") - common)
     pairs = stage.save(both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= similarity), "pairs")
     stage.drop(sets)
-    stage.release()
     shared = reps.filter("several").select("cls", F.col("k").alias("rep"))
     copies = reduced(rows.select("k", "cls"), "cls", reducer(shared, "cls")).distinct().join(shared, "cls")
     sizes = copies.groupBy("rep").agg(F.count("*").alias("copies"))
