@@ -135,12 +135,16 @@ def definition_in(text: Column | str, term: Column | str) -> Column:
     # a sentence that doesn't name the term needs no closer look
     kept = F.filter(display_sentences(text), lambda s: F.contains(F.lower(s), F.lower(term)) & ~header_like(s))
 
+    def names(verbs: str) -> Column:
+        return F.concat(F.lit(r"(?iuU)\b"), quoted(term), F.lit(rf"\b[^.!?\n]{{0,80}}?\b(?:{verbs})\b"))
+
     def ranked(s: Column, i: Column) -> Column:
         rank = None
         for n, verb in enumerate(P.DEFINITION_VERBS, 1):
-            hit = F.rlike(s, F.concat(F.lit(r"(?iuU)\b"), quoted(term), F.lit(rf"\b[^.!?\n]{{0,80}}?\b(?:{verb})\b")))
+            hit = F.rlike(s, names(verb))
             rank = F.when(hit, n) if rank is None else rank.when(hit, n)
-        return F.struct(rank.alias("priority"), (i + 1).alias("place"), s.alias("sentence"))
+        # one pattern for all verbs first: most sentences hold none
+        return F.struct(F.when(F.rlike(s, names("|".join(P.DEFINITION_VERBS))), rank).alias("priority"), (i + 1).alias("place"), s.alias("sentence"))
 
     best = F.array_min(F.filter(F.transform(kept, ranked), lambda x: x["priority"].isNotNull()))
     direct = let(colon, lambda c: F.when(c != "", F.struct(F.lit(0).alias("priority"), F.lit(0).alias("place"), F.concat(term, F.lit(": "), strip(c)).alias("sentence"))))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from docsift.functions import patterns as P
 from docsift.functions import text as X
-from docsift.functions.lists import list_items_udf
+from docsift.functions.lists import list_items
 from docsift.reduce import reduced, reducer
 from docsift.stage import Stage
 
@@ -55,14 +55,15 @@ def content_sentences(rows: DataFrame, most: int = 3) -> DataFrame:
 def definitions(rows: DataFrame) -> DataFrame:
     """query_id, definition, priority: the strongest definition of the question's term over its first five sections."""
     asked = rows.filter(X.is_definition("query_text")).withColumn("term", X.key_term("query_text")).filter("term <> ''")
-    hit = asked.filter(F.col("rank") <= P.CONTEXT_SECTIONS).withColumn("d", X.definition_in("cleaned", "term")).filter("d is not null")
+    # exploded rather than filtered, for a filter would look for every definition a second time
+    hit = asked.filter(F.col("rank") <= P.CONTEXT_SECTIONS).select("query_id", "rank", F.explode(F.filter(F.array(X.definition_in("cleaned", "term")), lambda x: x.isNotNull())).alias("d"))
     best = F.min(F.struct(F.col("d.priority").alias("priority"), "rank", F.col("d.place").alias("place"), F.col("d.sentence").alias("sentence"))).alias("b")
     return hit.groupBy("query_id").agg(best).select("query_id", F.col("b.sentence").alias("definition"), F.col("b.priority").alias("priority"))
 
 
 def list_answers(rows: DataFrame) -> DataFrame:
     """query_id, items: of list questions, the items of the first relevant section with at least two, at most ten."""
-    found = rows.filter(X.is_list("query_text")).withColumn("items", list_items_udf("cleaned", "query_text")).filter(F.size("items") >= 2)
+    found = rows.filter(X.is_list("query_text")).withColumn("items", list_items("cleaned", "query_text")).filter(F.size("items") >= 2)
     best = F.min(F.struct("rank", F.slice("items", 1, 10).alias("items"))).alias("b")
     return found.groupBy("query_id").agg(best).select("query_id", F.col("b.items").alias("items"))
 

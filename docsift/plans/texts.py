@@ -151,7 +151,7 @@ SQL = {
 low AS (SELECT section_id, section_text, lower(section_text) AS l FROM s)
 SELECT query_id, section_id FROM terms JOIN low ON contains(l, lower(term)) WHERE regexp_matches(section_text, '(?i)\\b' || e || '{B.WS}+(?:is|are|stands{B.WS}+for|refers{B.WS}+to|can{B.WS}+be{B.WS}+defined{B.WS}+as|means)\\b')""",
     "header_sentences": f"{_S} SELECT section_id, count(*) AS sentences, count(*) FILTER ({B.header_like('x')}) AS headers FROM (SELECT section_id, unnest({_SHOWN}) AS x FROM s) GROUP BY section_id",
-    "polish": f"{cte('answer')}, c AS (SELECT answer_id, {B.clean_display('answer_text')} AS z FROM a), o AS (SELECT answer_id, {B.strip(f'''regexp_replace(regexp_replace(z, '(^|\\n|{B.WS}{{2,}})o{B.WS}+([A-Za-z])', '\\1• \\2', 'g'), '^(?:{B.WS}|[•*-])+', '')''')} AS z FROM c), k AS (SELECT answer_id, CASE WHEN regexp_matches(z, '^\\p{{Ll}}') THEN upper(z[1:1]) || z[2:] ELSE z END AS p FROM o) SELECT answer_id, CASE WHEN p = '' OR regexp_matches(p, '[.!?]$') OR contains(string_split(p, chr(10))[-1], '•') THEN p ELSE p || '.' END AS polished FROM k",
+    "polish": f"{cte('answer')}, {B.polish_steps('a', 'answer_text', 'answer_id')} SELECT answer_id, polished FROM polished",
     "allowed_files": f"{cte('doc_catalog')} SELECT document_id, coalesce(trim(document_name) <> '' AND contains(document_name, '.') AND lower(string_split(document_name, '.')[-1]) IN ('pdf', 'txt'), false) AS allowed FROM d",
     "short_names": f"{cte('user_query')} SELECT query_id, CASE WHEN length(query_text) <= 40 THEN query_text ELSE regexp_replace(query_text[1:32], ' [^ ]*$', '') || '...' END AS label FROM q",
     "hashed_embedding": f"""{_S}, w AS (SELECT section_id, ('0x' || md5(tok)[1:8])::UBIGINT % 384 AS bucket FROM (SELECT section_id, unnest(regexp_split_to_array(lower(section_text), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM s) WHERE tok <> ''),

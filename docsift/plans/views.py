@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from docsift.functions import patterns as P
 from docsift.functions import text as X
-from docsift.functions.lists import list_items_udf
+from docsift.functions import lists as L
 from docsift.operators import answer as A
 from docsift.operators import retrieve as R
 from docsift.operators import store as S
@@ -198,12 +198,24 @@ def _asked(s, d) -> DataFrame:
 
 
 def definition_sentence(s, d):
-    return A.definitions(_asked(s, d))
+    """Every section is asked what the first thing is that it says something about, with the strongest sentence it has on it."""
+    about = lambda c: F.concat(F.lit("What is "), F.regexp_extract(c, r"(?U)\b(\p{L}{3,}) (?:is|are|means|stands for|refers to)\b", 1), F.lit("?"))
+    answer = lambda c: X.let(X.key_term(about(c)), lambda term: F.struct(term.alias("term"), X.definition_in(c, term).alias("d")))
+    # exploded rather than filtered, for a filter would compute everything a second time
+    rows = t(s, d, "document_section").select("section_id", F.explode(F.filter(F.array(X.let(X.clean_display("section_text"), answer)), lambda x: x["d"].isNotNull())).alias("x"))
+    return rows.select("section_id", "x.term", F.col("x.d.priority").cast("long").alias("priority"), F.col("x.d.sentence").alias("sentence"))
 
 
 def list_items(s, d):
-    rows = t(s, d, "document_section").select("section_id", F.explode(list_items_udf(X.clean_display("section_text"), F.lit(""))).alias("item"))
-    return rows
+    """The items that a retrieved section offers to a list question, in order."""
+    rows = _asked(s, d).filter(X.is_list("query_text")).select("query_id", "section_id", F.posexplode(L.list_items("cleaned", "query_text")).alias("n", "item"))
+    return rows.select("query_id", "section_id", (F.col("n") + 1).cast("long").alias("n"), "item")
+
+
+def plain_list_items(s, d):
+    """The simpler list rule over every section, without a question."""
+    rows = t(s, d, "document_section").select("section_id", F.posexplode(L.plain_items(X.clean_display("section_text"))).alias("n", "item"))
+    return rows.select("section_id", (F.col("n") + 1).cast("long").alias("n"), "item")
 
 
 def best_section(s, d):
@@ -221,7 +233,7 @@ QUERIES = {
     for f in (
         documents_by_owner, recent_queries, ownership_check, register_conflicts, chat_history, answer_lookup, provenance, page_labels, source_overflow, delete_results, delete_orphans,
         delete_survivors, document_names, selection_labels, section_counts, vector_topk, vector_topk_batch, vector_topk_dedup, scoped_topk, relative_gate, numbered_sections_first,
-        context_prefix, content_sentences, first_section, doc_retrieval, doc_retrieval_plain, definition_sentence, list_items, best_section, answers,
+        context_prefix, content_sentences, first_section, doc_retrieval, doc_retrieval_plain, definition_sentence, list_items, plain_list_items, best_section, answers,
     )
 }
 
@@ -252,6 +264,20 @@ rel AS (SELECT *, {B.clean_display('section_text')} AS cleaned FROM top WHERE sc
 """
 _PLACED = rf"placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN regexp_matches(cleaned, '\b[1-9][.)]{B.WS}') THEN 0 ELSE 1 END, rank) AS place FROM rel)"
 
+_ASKED = _RET + f", asked AS (SELECT query_id, section_id, rank, score, {B.clean_display('section_text')} AS cleaned, q.query_text FROM ret JOIN q USING (query_id))"
+_SUMMARY = f"""sent AS (SELECT query_id, place, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM (SELECT query_id, place, {B.shown_sentences('cleaned')} AS l FROM placed)),
+kept AS (SELECT *, lower({B.squeeze('x[1:80]')}) AS fp FROM sent WHERE NOT {B.header_like('x')}),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, fp ORDER BY place, n) AS k FROM kept) WHERE k = 1),
+summary AS (SELECT query_id, string_agg(x, ' ' ORDER BY o) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, n) AS o FROM one) WHERE o <= 3 GROUP BY query_id)"""
+_CONTEXT = f"""n AS (SELECT query_id, rank, cleaned, {B.word_count('cleaned')} AS w FROM asked WHERE rank <= 5), g AS (SELECT *, sum(w) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM n),
+ctx AS (SELECT query_id, string_agg(cleaned, ' ' ORDER BY rank) AS context FROM g WHERE total <= 1500 GROUP BY query_id)"""
+_BEST = f"""{_ASKED}, {_PLACED}, {_SUMMARY}, {_CONTEXT},
+lq AS (SELECT asked.* FROM asked JOIN rel USING (query_id, section_id) WHERE {B.is_list('query_text')}), {B.list_steps('lq', 'query_id, rank')},
+bullets AS (SELECT query_id, arg_min(items, rank) AS items FROM listed WHERE len(items) >= 2 GROUP BY query_id),
+best_text AS (SELECT query_id, coalesce(array_to_string(list_transform(items[1:10], lambda i: '• ' || i), chr(10)), nullif(summary, ''), context) AS best
+  FROM (SELECT DISTINCT query_id FROM asked) LEFT JOIN bullets USING (query_id) LEFT JOIN summary USING (query_id) LEFT JOIN ctx USING (query_id))"""
+
+
 def _embed_sql(name: str, src: str) -> str:
     return f"""t{name} AS (SELECT id, ('0x' || md5(w)[1:8])::UBIGINT % 384 AS b, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(x), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM ({src})) WHERE w <> '' GROUP BY ALL),
 {name} AS (SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM t{name})"""
@@ -311,4 +337,21 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, fp OR
 SELECT query_id, section_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM one) WHERE rank <= 8""",
     "doc_retrieval_plain": _DOC + """, every AS (SELECT q.query_id, s.section_id, coalesce(raw.score, 0) AS score FROM q JOIN s ON s.section_text IS NOT NULL LEFT JOIN raw ON raw.query_id = q.query_id AND raw.section_id = s.section_id WHERE trim(q.query_text) <> '')
 SELECT query_id, section_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM every) WHERE rank <= 5""",
+    "definition_sentence": f"""{cte('document_section')}, c AS (SELECT section_id, {B.clean_display('section_text')} AS cleaned FROM s),
+n AS (SELECT *, 'What is ' || regexp_extract(cleaned, '\\b(\\p{{L}}{{3,}}) (?:is|are|means|stands for|refers to)\\b', 1) || '?' AS query_text FROM c), terms AS (SELECT section_id, cleaned, {B.key_term('query_text')} AS term FROM n),
+{B.definition_steps('terms', 'section_id, term')} SELECT section_id, term, priority::BIGINT AS priority, sentence FROM defined""",
+    "list_items": _ASKED + f", lq AS (SELECT * FROM asked WHERE {B.is_list('query_text')}), {B.list_steps('lq', 'query_id, section_id')} SELECT query_id, section_id, unnest(range(1, len(items) + 1)) AS n, unnest(items) AS item FROM listed",
+    "plain_list_items": f"{cte('document_section')}, c AS (SELECT section_id, {B.clean_display('section_text')} AS cleaned FROM s), i AS (SELECT section_id, {B.plain_items('cleaned')} AS items FROM c) SELECT section_id, unnest(range(1, len(items) + 1)) AS n, unnest(items) AS item FROM i",
+    "best_section": _BEST + " SELECT query_id, best FROM best_text",
+    "answers": _BEST + f""",
+firsts AS (SELECT query_id, cleaned AS top FROM asked WHERE rank = 1),
+terms AS (SELECT query_id, rank, cleaned, {B.key_term('query_text')} AS term FROM asked WHERE rank <= 5 AND {B.is_definition('query_text')}),
+{B.definition_steps('terms', 'query_id, rank')},
+defs AS (SELECT query_id, arg_min(sentence, (priority, rank, place)) AS definition FROM defined GROUP BY query_id),
+routed AS (SELECT q.query_id, top, definition, best,
+  CASE WHEN coalesce(length(context), 0) < 20 THEN 'not_found' WHEN {B.is_list('q.query_text')} THEN 'list' WHEN definition IS NOT NULL THEN 'definition' ELSE 'fallback' END AS route
+  FROM q LEFT JOIN ctx USING (query_id) LEFT JOIN firsts USING (query_id) LEFT JOIN best_text USING (query_id) LEFT JOIN defs USING (query_id) WHERE q.query_text IS NOT NULL),
+raw AS (SELECT query_id, route, top, CASE WHEN route = 'definition' THEN definition ELSE best END AS raw FROM routed),
+{B.polish_steps('raw', 'raw', 'query_id, route, top')}
+SELECT query_id, route, CASE WHEN route = 'not_found' THEN '{P.NOT_FOUND}' ELSE polished END AS answer, CASE WHEN route IN ('list', 'definition') THEN top ELSE '' END AS context FROM polished""",
 }

@@ -63,14 +63,18 @@ def test_definition(spark):
     assert got[2] is None and got[4] is None
 
 
-def test_lists():
-    assert lists.list_items("Following are the steps: 1) open it. 2) close it.", "steps") == ["open it", "close it"]
-    two = "PGP has these properties: • free • open. Following are the steps at the sender: • sign it • send it"
-    assert lists.list_items(two, "what are the steps at the sender") == ["sign it", "send it"]
-    assert lists.segment("Types of Intruders 1) Masquerader: one who steals access.", "types of intruders") is None
+def test_lists(spark):
+    two = "Its properties are: • fast • small. Following are the steps taken at the sender: 1) sign it. 2) send it. All is done."
     inline = "Some types of alerts: Handshake failure: the parties could not agree. Bad record: a record did not verify."
-    assert lists.list_items(inline, "") == ["Handshake failure: the parties could not agree", "Bad record: a record did not verify"]
-    assert lists.list_items(None, "x") == [] and lists.list_items("", None) == []
+    cases = [
+        ("Following are the steps: 1) open it. 2) close it.", "steps", ["open it", "close it"]), (two, "what are the steps at the sender", ["sign it", "send it"]), (inline, "", ["Handshake failure: the parties could not agree", "Bad record: a record did not verify"]),
+        (None, "x", []), ("", None, []), (two, None, ["fast", "small", "sign it", "send it"]),
+    ]
+    df = spark.createDataFrame([(i, x, q) for i, (x, q, _) in enumerate(cases)], "i int, x string, q string")
+    assert [r[0] for r in df.orderBy("i").select(lists.list_items("x", "q")).collect()] == [c[2] for c in cases]
+    # a lead-in that swallowed a numbered item is none
+    assert column(spark, ["Types of Intruders 1) Masquerader: one who steals access.", "It is so. The steps: 1) a. Then the ways: 2) b."], lists.parts) == [[], [("The steps", "1) a. "), ("Then the ways", "2) b.")]]
+    assert column(spark, ["o First thing.\n- second; and more.\n3) " + "x" * 250, None], lists.plain_items) == [["First thing", "second; and more"], []]
 
 
 @pytest.mark.parametrize(
