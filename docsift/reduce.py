@@ -30,3 +30,11 @@ def reduced(df: DataFrame, column: str, by: DataFrame) -> DataFrame:
     marked = df.withColumn("_word", word).withColumn("_bit", bit)
     hit = marked.join(F.broadcast(by.withColumnRenamed("word", "_word")), "_word").filter(F.expr("getbit(bits, _bit) = 1"))
     return hit.select(*df.columns)
+
+
+def divided(df: DataFrame, column: str, by: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the folded keys, all other rows and those without a key)."""
+    word, bit = _place(column)
+    marked = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(by.withColumnRenamed("word", "_word")), "_word", "left")
+    hit = F.col(column).isNotNull() & F.coalesce(F.expr("getbit(bits, _bit) = 1"), F.lit(False))
+    return marked.filter(hit).select(*df.columns), marked.filter(~hit).select(*df.columns)

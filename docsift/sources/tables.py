@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.reduce import divided, reducer
+
 #: Key column of each table of the store.
 KEYS = {
     "app_user": "user_id",
@@ -41,10 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+def one_split(df: DataFrame) -> bool:
+    """The planner's estimate of the input fits one split of a scan."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row per key: a row sent twice keeps its content, so the earliest arrival stands for both.
 
-    Rows with a null key are kept as they are distinct from each other.
+    Rows with a null key are kept as they are distinct from each other.  Texts
+    and vectors stay where they are: repeated keys are found on the key alone,
+    and only rows that a reducer of fixed size lets pass are shuffled whole.  An
+    input of one split is shuffled by its key, for it has to be spread anyway.
     """
     rest = [c for c in df.columns if c not in (key, "loaded_at")]
     aggs = [F.min("loaded_at").alias("loaded_at")] if "loaded_at" in df.columns else []
@@ -52,5 +63,10 @@ def once(df: DataFrame, key: str) -> DataFrame:
     aggs += [F.first(F.col(f"`{c}`")).alias(c) for c in rest]
     if not aggs:
         return df.dropDuplicates([key])
-    one = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-    return one.select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
+    wide = any(isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for c in rest)
+    if wide and not one_split(df):
+        keys = df.select(key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+        some, others = divided(df, key, reducer(keys, key))
+    else:
+        some, others = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
+    return some.groupBy(key).agg(*aggs).select(*df.columns).unionByName(others)

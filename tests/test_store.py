@@ -165,3 +165,15 @@ def test_small_views(spark):
     assert S.one(df.limit(0)) is None
     labels = spark.createDataFrame([(0, 0), (0, 3), (2, 3)], "k int, n int").select(S.selection_label(F.col("k"), F.col("n"))).collect()
     assert [x[0] for x in labels] == ["Upload documents", "All documents", "2 of 3"]
+
+
+def test_once_leaves_texts_in_place(spark, monkeypatch):
+    from docsift.sources import tables as T
+
+    rows = [(i, f"text {i}", i) for i in range(300)] + [(i, f"text {i}", 900 + i) for i in range(0, 300, 7)] + [(None, "a", 1), (None, "a", 1)]
+    df = spark.createDataFrame(rows, "section_id long, section_text string, loaded_at long")
+    small = sorted(map(str, T.once(df, "section_id").collect()))
+    monkeypatch.setattr(T, "one_split", lambda df: False)
+    assert sorted(map(str, T.once(df, "section_id").collect())) == small and len(small) == 302
+    plan = T.once(df, "section_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and T.once(df.limit(0), "section_id").count() == 0
