@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import logging
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,27 @@ from docsift.stage import Stage
 log = logging.getLogger(__name__)
 
 DIM, NEAREST, COPIES = 64, 5, 6
-#: Degree of the graph, and the share of its forward and of as many reverse neighbours that a round joins.
-DEGREE, JOINED = 12, 0.67
-TREES, LEAF, ROUNDS, CHANGED = 5, 2048, 2, 0.01
-#: Edges per node that each leaf contributes to the start.
-PER_LEAF = 7
-#: The same where whole neighbour lists are wanted, not only close pairs.
-FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF = 20, 4, 12, 16_384
-#: The graph that searches walk on; the walk makes up for a quicker build.
-WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF = 20, 2, 6, 8192
+
+
+@dataclass(frozen=True)
+class Build:
+    """How a graph is built, the same at every size: its degree, the share of forward and of as many reverse neighbours that a
+    round joins, trees, nodes of a leaf, edges per node that a leaf contributes to the start, and the rounds at most."""
+
+    degree: int
+    joined: float
+    trees: int
+    leaf: int
+    per_leaf: int
+    rounds: int
+
+
+#: For close pairs, for whole neighbour lists, and for the graph that searches walk on.
+CLOSE = Build(12, 0.67, 5, 256, 7, 3)
+FULL = Build(30, 0.67, 8, 256, 12, 8)
+WALK = Build(24, 0.67, 8, 256, 10, 4)
+#: Rounds end when this share of the edges is new.
+CHANGED = 0.01
 #: Graph search: entry nodes, kept candidates, and how many of them a step opens, until no query opens any.
 ENTRIES, BEAM, WIDTH, STEPS = 128, 48, 12, 12
 #: Vectors that the trees are fitted on, and the depth to which that many can balance them.
@@ -171,14 +184,14 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("least", F.when(last >= k, low).otherwise(F.lit(-2.0)).cast("float"))
 
 
-def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def start(nodes: DataFrame, count: int, stage: Stage, build: Build) -> DataFrame:
     """Edges from exact search inside the leaves of the forest. nodes: k, v, q."""
-    spark = nodes.sparkSession
+    spark, degree, trees, leaf, per_leaf = nodes.sparkSession, build.degree, build.trees, build.leaf, build.per_leaf
     parts = 1_000_000_000
     rows = nodes.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) < int(parts * min(1.0, SAMPLE / max(1, count)))).select("v").collect()
     sample = np.frombuffer(b"".join(r.v for r in rows), np.float32).reshape(len(rows), -1)
     depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
-    forest = spark.sparkContext.broadcast(Forest(sample, trees if depth else 1, depth))
+    forest = spark.sparkContext.broadcast(Forest(sample, trees, depth))
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,7 +210,7 @@ def start(nodes: DataFrame, count: int, stage: Stage, degree: int = DEGREE, tree
     large = sizes.select("leaf", F.ceil(F.col("n") / leaf).cast("long").alias("parts"))
     placed = placed.join(large, "leaf", "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("k", "leaf"), F.coalesce("parts", F.lit(1))))
-    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(lambda table: _leaf_edges(table, PER_LEAF if depth else degree), EDGES)
+    edges = placed.select("leaf", "part", "k", "q").groupBy("leaf", "part").applyInArrow(lambda table: _leaf_edges(table, min(degree, per_leaf)), EDGES)
     return stage.save(_nearest(edges.withColumn("old", F.lit(False)), degree), "graph")
 
 
@@ -239,11 +252,11 @@ def _proposals(around: DataFrame) -> DataFrame:
     return by_batch(around, make, EDGES)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree: int = DEGREE, rounds: int = ROUNDS, changed: float = CHANGED) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, build: Build) -> DataFrame:
     """NN-descent from a start graph, as ``_nearest`` gives it."""
     packed = nodes.select("k", "q")
-    join = max(2, round(degree * JOINED))
-    for _ in range(rounds):
+    degree, join = build.degree, max(2, round(build.degree * build.joined))
+    for _ in range(build.rounds):
         near = graph.filter(F.col("r") <= join)
         forward = near.select(F.col("i").alias("center"), F.col("j").alias("k"))
         by = W.partitionBy("center").orderBy(F.desc("s"), "k")
@@ -257,7 +270,7 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree
         log.info("round changed %d of %d edges", fresh, count * degree)
         stage.drop(graph)
         graph = merged
-        if fresh <= changed * count * degree:
+        if fresh <= CHANGED * count * degree:
             break
     return graph
 
@@ -265,7 +278,7 @@ def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, count: int, degree
 class Neighbours:
     """The finished graph with what is needed to turn nodes into records."""
 
-    def __init__(self, df: DataFrame, key: str, vector: str, dim: int = DIM, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF):
+    def __init__(self, df: DataFrame, key: str, vector: str, dim: int, build: Build):
         self.stage = stage = Stage(df.sparkSession, "knn")
         rows = stage.save(usable(df, key, vector, dim), "vectors")
         self.members = rows.select("k", "cls").distinct()
@@ -280,7 +293,7 @@ class Neighbours:
 
         self.nodes = stage.save(by_batch(classes.select(F.col("rep").alias("k"), "v", "cls", (F.col("low") < F.col("high")).alias("several")), make, "k long, v binary, cls binary, several boolean, q binary"), "nodes")
         count = self.nodes.count()
-        self.graph = descend(start(self.nodes, count, stage, degree, trees, leaf), self.nodes, stage, count, degree, rounds) if count > 1 else None
+        self.graph = descend(start(self.nodes, count, stage, build), self.nodes, stage, count, build) if count > 1 else None
 
     def firsts(self) -> DataFrame:
         """rep, ks: the smallest keys of each vector that several records share."""
@@ -361,13 +374,13 @@ def greedy_search(found: Neighbours, queries: DataFrame, k: int) -> DataFrame:
     return state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("i", "j", "s")
 
 
-def search(df: DataFrame, asks, key: str = "section_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
+def search(df: DataFrame, asks, key: str = "section_id", vector: str = "embedding", dim: int = DIM, build: Build | None = None) -> DataFrame:
     """section_id, rank, neighbour_id, similarity for the records whose key satisfies ``asks``, against all records.
 
     asks: function from the key column to a condition.  The five most similar
     other records of each are found by graph search.
     """
-    found = Neighbours(df, key, vector, dim, WALK_DEGREE, WALK_ROUNDS, WALK_TREES, WALK_LEAF)
+    found = Neighbours(df, key, vector, dim, build or WALK)
     who = found.members.filter(asks(F.col("k")))
     if found.graph is None:
         return df.sparkSession.createDataFrame([], "section_id long, rank int, neighbour_id long, similarity double")
@@ -384,9 +397,9 @@ def search(df: DataFrame, asks, key: str = "section_id", vector: str = "embeddin
 _NONE = "i long, j long, s double"
 
 
-def mutual(df: DataFrame, key: str = "section_id", vector: str = "embedding", least: float = 0.9, dim: int = DIM) -> DataFrame:
+def mutual(df: DataFrame, key: str = "section_id", vector: str = "embedding", least: float = 0.9, dim: int = DIM, build: Build | None = None) -> DataFrame:
     """section_id_a, section_id_b: pairs of at least the given cosine, each among the five most similar of the other."""
-    found = Neighbours(df, key, vector, dim)
+    found = Neighbours(df, key, vector, dim, build or CLOSE)
     if found.graph is None:
         near = df.sparkSession.createDataFrame([], _NONE)
     else:
@@ -396,9 +409,9 @@ def mutual(df: DataFrame, key: str = "section_id", vector: str = "embedding", le
     return pairs.filter("n = 2").select("section_id_a", "section_id_b")
 
 
-def neighbours(df: DataFrame, key: str = "section_id", vector: str = "embedding", dim: int = DIM) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "section_id", vector: str = "embedding", dim: int = DIM, build: Build | None = None) -> DataFrame:
     """section_id, rank, neighbour_id, similarity: the five most similar records of every record that takes part."""
-    found = Neighbours(df, key, vector, dim, FULL_DEGREE, FULL_ROUNDS, FULL_TREES, FULL_LEAF)
+    found = Neighbours(df, key, vector, dim, build or FULL)
     spare = NEAREST + 3
     near = found.exact(found.graph.filter(F.col("r") <= spare)) if found.graph is not None else df.sparkSession.createDataFrame([], _NONE)
     ranked = _ranked(found.records(near))

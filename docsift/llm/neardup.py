@@ -6,16 +6,21 @@ embedded as minima of hash functions, each of which is a sampled token of the
 set.  A path starts with one sampled token and all sets that chose it share a
 bucket.  A bucket of at most ``BUCKET`` sets is compared directly by 128-bit
 sketches; a larger one is split again on further sampled tokens, two per level.
-The number of first tokens follows from the target recall.  Every pair that the
-sketches let pass is verified on the full sets.
+Every pair that the sketches let pass is verified on the full sets.
 
-A bucket that is still too large after ``DEPTH`` splits is compared exactly in
-blocks, so no bucket is given up.
+Each split may lose a pair, so the number of first tokens follows from the
+target recall and the depth that splitting really reached: a run with the tokens
+for one level is repeated with further ones while the deepest level asks for
+them.  Tokens of splits are drawn from ``SPLITS`` hash functions of their own;
+that a pair may agree on few of these is part of the computation.
+
+A bucket that is still too large after ``DEPTH`` splits holds sets that agree on
+all sampled tokens; it is compared in blocks, so no bucket is given up.
 
 Defined results: null or empty texts, and texts with fewer than ``min_words``
 words or fewer than one shingle, take part in nothing; a repeated key with the
 same text is one record; null keys are left out; empty tables give empty
-results.  Members of a class of at most ``EXPAND`` texts are listed with all
+results.  Members of a class of at most ``expand`` texts are listed with all
 their partners; in a larger class of copies each member is paired with the
 representative, which alone carries the links to other texts.  Only the key and
 text columns are read.
@@ -24,6 +29,7 @@ text columns are read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +44,9 @@ from docsift.stage import Stage
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.998
 BUCKET, DEPTH, EXPAND = 1000, 6, 64
-#: Hash functions for paths and, one bit each, for the sketch.
-PATHS, BITS = 24, 128
+#: Hash functions for the tokens of splits and, one bit each, for the sketch.
+SPLITS, BITS = 16, 128
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 2**63, PATHS + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, PATHS + BITS, dtype=np.uint64)
 _P = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,28 +81,52 @@ class Shingler:
         return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Path tokens (rows x PATHS, 32 bits) and sketches (rows x 2, 64 bits) of shingle sets."""
-    tokens = np.empty((len(sets), PATHS), np.uint32)
+@lru_cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of n hash functions, the same for every process."""
+    rng = np.random.default_rng(5)
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+def signatures(sets: list[np.ndarray], paths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Path tokens (rows x paths, 32 bits) and sketches (rows x 2, 64 bits) of shingle sets."""
+    tokens = np.empty((len(sets), paths), np.uint32)
     bits = np.empty((len(sets), BITS), np.uint8)
+    factor, addend = _hashes(paths + BITS)
     for i in range(0, len(sets), 128):
         part = sets[i : i + 128]
         x = np.concatenate(part)
         at = np.cumsum([0] + [len(p) for p in part[:-1]])
         with np.errstate(over="ignore"):
-            for k in range(PATHS + BITS):
-                low = np.minimum.reduceat((x * _A[k] + _B[k]) >> np.uint64(20), at)
-                if k < PATHS:
+            for k in range(paths + BITS):
+                low = np.minimum.reduceat((x * factor[k] + addend[k]) >> np.uint64(20), at)
+                if k < paths:
                     tokens[i : i + len(part), k] = (low * _P[3] >> np.uint64(32)).astype(np.uint32)
                 else:
-                    bits[i : i + len(part), k - PATHS] = (low * _P[4] >> np.uint64(63)).astype(np.uint8)
+                    bits[i : i + len(part), k - paths] = (low * _P[4] >> np.uint64(63)).astype(np.uint8)
     return tokens, np.packbits(bits, axis=1).view(np.int64)
 
 
-def roots(similarity: float, recall: float = RECALL) -> int:
-    """First tokens needed: each finds a pair with the similarity times the chance of two tokens at one further level."""
-    each = similarity * (1 - (1 - similarity) ** 2)
-    return min(PATHS, math.ceil(math.log(1 - recall) / math.log(1 - each)))
+def missed(similarity: float, first: int, depth: int) -> float:
+    """Chance that a pair is in no common bucket: ``first`` tokens, each followed by ``depth`` splits on two tokens."""
+    out = 0.0
+    for agree in range(SPLITS + 1):
+        share = agree / SPLITS
+        below = 1.0
+        for _ in range(depth):
+            below = 1 - (1 - share * below) ** 2
+        weight = math.comb(SPLITS, agree) * similarity**agree * (1 - similarity) ** (SPLITS - agree)
+        out += weight * (1 - similarity * below) ** first
+    return out
+
+
+@lru_cache
+def roots(similarity: float, depth: int, recall: float = RECALL) -> int:
+    """First tokens needed for the recall where buckets are split so often."""
+    n = 1
+    while missed(similarity, n, depth) > 1 - recall:
+        n += 1
+    return n
 
 
 def _least_agreement(similarity: float) -> int:
@@ -110,7 +138,7 @@ def _least_agreement(similarity: float) -> int:
 SKETCHED = "k long, cls binary, n int, tokens array<int>, lo long, hi long"
 
 
-def sketched(df: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
+def sketched(df: DataFrame, key: str, text: str, n: int, min_words: int, paths: int) -> DataFrame:
     """One row per record: k, class digest, set size, path tokens and sketch."""
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
 
@@ -125,8 +153,8 @@ def sketched(df: DataFrame, key: str, text: str, n: int, min_words: int) -> Data
                     sets.append(s)
             if not keys:
                 return None
-            tokens, sketch = signatures(sets)
-            offsets = pa.array(np.arange(0, PATHS * len(keys) + 1, PATHS, dtype=np.int32))
+            tokens, sketch = signatures(sets, paths)
+            offsets = pa.array(np.arange(0, paths * len(keys) + 1, paths, dtype=np.int32))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
@@ -189,8 +217,19 @@ def _gather(rows: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
 
 def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
     """a, b (a < b): pairs of representatives that some bucket brought together. reps: a written table of sketched rows."""
-    first = F.slice("tokens", 1, roots(similarity))
-    rows = reps.select("k", "n", "lo", "hi", F.posexplode(first).alias("r", "token")).select(F.xxhash64("r", "token").alias("path"), "k", "n", "lo", "hi")
+    used, out = 0, None
+    need = roots(similarity, 1)
+    while used < need:
+        found, depth = _run(reps, stage, similarity, used, need)
+        out = found if out is None else out.union(found)
+        used, need = need, roots(similarity, depth)
+    return out.distinct()
+
+
+def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int) -> tuple[DataFrame, int]:
+    """Pairs by the first tokens from ``begin`` to ``end``, and how often buckets were split."""
+    first = F.slice("tokens", SPLITS + begin + 1, end - begin)
+    rows = reps.select("k", "n", "lo", "hi", F.posexplode(first).alias("r", "token")).select(F.xxhash64(F.col("r") + begin, "token").alias("path"), "k", "n", "lo", "hi")
     out = None
     for level in range(DEPTH + 1):
         counts = stage.save(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{level}")
@@ -198,7 +237,7 @@ def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
         out = found if out is None else out.union(found)
         large = counts.filter(F.col("size") > BUCKET).select("path", "size")
         if large.isEmpty():
-            return out.distinct()
+            return out, level
         inside = reduced(rows, "path", reducer(large, "path")).join(large, "path")
         if level == DEPTH:
             # blocks of a bucket, each met with each: every row goes to the cells of its block's row and column
@@ -206,12 +245,11 @@ def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
             own = F.pmod(F.xxhash64("k", "path"), blocks.cast("long")).cast("int")
             cell = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
             spread = inside.select("k", "n", "lo", "hi", "path", F.explode(cell).alias("c")).select(F.xxhash64("path", "c.i", "c.j").alias("path"), "k", "n", "lo", "hi")
-            return out.union(_gather(spread, spread.select("path").distinct(), similarity)).distinct()
-        tokens = reps.select(F.col("k").alias("id"), "tokens")
-        pick = [F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(PATHS)).cast("int") for j in range(2)]
+            return out.union(_gather(spread, spread.select("path").distinct(), similarity)), level
+        tokens = reps.select(F.col("k").alias("id"), F.slice("tokens", 1, SPLITS).alias("tokens"))
+        pick = [F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(SPLITS)).cast("int") for j in range(2)]
         chosen = F.explode(F.array(*[F.struct(p.alias("c"), F.element_at("tokens", p + 1).alias("token")) for p in pick]))
         rows = inside.join(tokens, F.col("k") == F.col("id")).select("path", "k", "n", "lo", "hi", chosen.alias("x")).select(F.xxhash64("path", "x.c", "x.token").alias("path"), "k", "n", "lo", "hi")
-    return out.distinct()
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
@@ -234,7 +272,7 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_wor
 def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): verified pairs (a, b, similarity) of representatives, and k, rep, copies of every record."""
     stage = Stage(df.sparkSession, "neardup")
-    rows = stage.save(sketched(df, key, text, n, min_words), "sketched")
+    rows = stage.save(sketched(df, key, text, n, min_words, SPLITS + roots(similarity, DEPTH)), "sketched")
     head = F.min(F.struct("k", "n", "tokens", "lo", "hi")).alias("r")
     reps = stage.save(rows.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several")), "reps")
     found = stage.save(candidates(reps, stage, similarity), "candidates")
@@ -252,13 +290,13 @@ def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: flo
     return pairs, members.union(reps.filter("not several").select("k", F.col("k").alias("rep"), F.lit(1).cast("long").alias("copies")))
 
 
-def found(df: DataFrame, key: str = "section_id", text: str = "section_text", n: int = 3, similarity: float = 0.6, min_words: int = 20) -> DataFrame:
+def found(df: DataFrame, key: str = "section_id", text: str = "section_text", n: int = 3, similarity: float = 0.6, min_words: int = 20, expand: int = EXPAND) -> DataFrame:
     """section_id_a, section_id_b: every similar pair, smaller key first; see the module on large classes of copies."""
     pairs, members = joined(df, key, text, n, similarity, min_words)
-    small = members.filter(F.col("copies") <= EXPAND)
+    small = members.filter(F.col("copies") <= expand)
     lists = small.filter("copies > 1").groupBy("rep").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     within = lists.select(F.posexplode("ks").alias("i", "a"), "ks").select("a", F.explode(F.expr("slice(ks, i + 2, size(ks))")).alias("b"))
-    star = members.filter((F.col("copies") > EXPAND) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    star = members.filter((F.col("copies") > expand) & (F.col("k") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("k").alias("b"))
     side = lists.select("rep", "ks")
     one = lambda c: F.coalesce(F.col(f"ks_{c}"), F.array(c))
     across = (
@@ -272,9 +310,9 @@ def found(df: DataFrame, key: str = "section_id", text: str = "section_text", n:
     return across.union(within).union(star).select(F.col("a").alias("section_id_a"), F.col("b").alias("section_id_b"))
 
 
-def links(df: DataFrame, key: str = "section_id", text: str = "section_text", n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def links(df: DataFrame, key: str = "section_id", text: str = "section_text", n: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = 0) -> DataFrame:
     """section_id, class_id, copies, links: one row per record; links counts the other classes its text is similar to."""
-    pairs, members = joined(df, key, text, n, similarity)
+    pairs, members = joined(df, key, text, n, similarity, min_words)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     out = members.join(degree, "rep", "left")
     return out.select(F.col("k").alias("section_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -16,7 +16,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.links(_t(spark, sf_dir, "document_section"))
+    """The classes of p2_found: one row per section with its class of equal texts and the number of similar classes."""
+    return neardup.links(_t(spark, sf_dir, "document_section"), n=3, similarity=0.6, min_words=20)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,17 +38,35 @@ def test_against_brute_force(spark, monkeypatch, bucket):
     assert got <= want and len(got) >= 0.98 * len(want) and want
 
 
-def test_copies_and_odd_input(spark, monkeypatch):
-    monkeypatch.setattr(N, "EXPAND", 5)
+def test_copies_and_odd_input(spark):
     a, b = _texts(2, 1)[0], _texts(3, 1)[0]
     near = a + " extra"
     rows = [(i, a) for i in range(4)] + [(4, near)] + [(10 + i, b.upper() + "!") for i in range(7)] + [(20, b + " more")]
     rows += [(0, a), (30, None), (31, ""), (32, "too few words"), (None, a)]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "section_id long, section_text string, cls string")
-    got = {tuple(r) for r in N.found(df).collect()}
+    got = {tuple(r) for r in N.found(df, expand=5).collect()}
     within = {(i, j) for i in range(4) for j in range(i + 1, 4)} | {(i, 4) for i in range(4)}
     star = {(10, 10 + i) for i in range(1, 7)} | {(10, 20)}
     assert got == within | star
     links = {r.section_id: (r.class_id, r.copies, r.links) for r in N.links(df, n=3, similarity=0.6).collect()}
     assert links[3] == (0, 4, 1) and links[4] == (4, 1, 1) and links[16] == (10, 7, 1) and 32 not in links or links[32] == (32, 1, 0)
     assert N.found(df.limit(0)).count() == 0 and N.links(df.limit(0)).count() == 0
+
+
+def test_recall_of_the_tokens():
+    """Drawn agreements of pairs at the threshold, with the tokens that splits really use again, against the computation."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for similarity in (0.4, 0.6, 0.8):
+        for depth in (1, 3, 6):
+            first, trials = N.roots(similarity, depth), 4000
+            split = rng.random((trials, N.SPLITS)) < similarity
+            kept = np.zeros(trials, bool)
+            for _ in range(first):
+                live = np.ones((trials, 1), bool)
+                for _ in range(depth):
+                    picks = rng.integers(0, N.SPLITS, (trials, live.shape[1] * 2))
+                    live = np.repeat(live, 2, 1) & np.take_along_axis(split, picks, 1)
+                kept |= live.any(1) & (rng.random(trials) < similarity)
+            assert kept.mean() >= N.RECALL - 0.003 and N.missed(similarity, first, depth) <= 1 - N.RECALL
