@@ -13,7 +13,11 @@ one task.
 
 from __future__ import annotations
 
+import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from pyspark.sql import Window as W
 from docsift.functions import patterns as P
 from docsift.functions import text as X
 from docsift.operators.embed import cosine, hashed_matrix
+from docsift.reduce import reduced, reducer
 
 BLOCK = 4096
 #: Scores are rounded before they are compared, so that ties don't depend on the order of summation.
@@ -59,22 +64,86 @@ def scoped(sections: DataFrame, documents: DataFrame, owner: Column, wanted: Col
     return marked.filter(F.col("_mine") | ~F.col("_some")).drop("_mine", "_some")
 
 
-#: The last word before a defining verb.
-_BEFORE_VERB = r"(?iuU)(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)[^\p{L}\p{N}_\s]*+\s++(?:is|are|stands\s+for|refers\s+to|can\s+be\s+defined\s+as|means)\b"
+#: A defining verb with the white space before it; the exact pattern also asks for its end.
+_VERB = re.compile(r"\s+(?:is|are|stands\s+for|refers\s+to|can\s+be\s+defined\s+as|means)", re.I)
+#: Letters, decimal digits and underscores, between which there is no word boundary; other numerals count as marks.
+_RUN = re.compile(r"\w+")
+#: Runs of a term that the equi-join compares; the exact pattern compares the rest.
+RUNS = 4
 
 
-def boosts(sections: DataFrame, key: str, text: str, questions: DataFrame, per: str, question: str) -> DataFrame:
-    """per, key of the (question, section) pairs that earn the definition boost.
+@lru_cache
+def _marks() -> dict[int, str]:
+    return {c: "\N{MIDDLE DOT}" for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not (chr(c).isalpha() or chr(c).isdecimal())}
+
+
+def _runs(text: str) -> list[re.Match]:
+    return list(_RUN.finditer(text if text.isascii() else text.translate(_marks())))
+
+
+def _last_runs(term: str) -> str:
+    return " ".join(m[0].casefold() for m in _runs(term)[-RUNS:])
+
+
+def _before_verbs(text: str) -> set[tuple[str, str]]:
+    """(last runs, text around them) before each defining verb: one for each number of runs that a term may have."""
+    out: set[tuple[str, str]] = set()
+    verbs = list(_VERB.finditer(text))
+    if not verbs:
+        return out
+    runs = _runs(text)
+    ends = [m.end() for m in runs]
+    for v in verbs:
+        at, end = bisect_right(ends, v.start()), v.end() + 1
+        key = ""
+        if v.start() and not (at and ends[at - 1] == v.start()):
+            out.add(("", text[max(0, (ends[at - 1] if at else 0) - 1) : end]))
+        for n in range(1, min(RUNS, at) + 1):
+            key = runs[at - n][0].casefold() + (" " + key if key else "")
+            # a term of more runs than are compared may begin anywhere
+            begin = 0 if n == RUNS or n == at else ends[at - n - 1] - 1
+            out.add((key, text[begin:end]))
+    return out
+
+
+def definitions(sections: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """key, term: which sections say what a term is, one row for each.
 
-    Candidate pairs come from an equi-join of the questions' terms with the last
-    words before defining verbs; the exact pattern then decides.
+    Candidates come from an equi-join of the last runs of a term with the runs
+    before defining verbs, of which those that no term has are dropped first; the
+    exact pattern then decides on the text around them.
     """
-    terms = questions.filter(X.is_definition(question)).select(per, X.key_term(question).alias("term")).filter("term <> ''")
-    terms = terms.withColumn("_last", F.lower(F.regexp_extract("term", r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$", 1)))
-    last = F.call_function("regexp_extract_all", F.col(text), F.lit(_BEFORE_VERB), F.lit(1))
-    said = sections.select(key, text, F.explode(F.array_distinct(F.transform(last, F.lower))).alias("_last"))
-    pairs = said.join(terms, "_last").filter(X.definition_boost(text, "term") > 0)
-    return pairs.select(per, key).distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_last_runs(x) for x in b.column(0).to_pylist()], pa.string())], ["term", "_last"])
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                rows, found = [], []
+                for n, x in enumerate(b.column(1).slice(i, 512).to_pylist(), i):
+                    if x and (pairs := _before_verbs(x)):
+                        found += pairs
+                        rows += [n] * len(pairs)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], [key, "_last", "_near"])
+
+    known = terms.select("term").distinct().mapInArrow(keyed, "term string, _last string")
+    near = sections.select(F.col(key).cast("long").alias(key), text).mapInArrow(said, f"{key} long, _last string, _near string")
+    near = reduced(near, "_last", reducer(known, "_last"))
+    return near.join(known, "_last").filter(X.definition_boost("_near", "term") > 0).select(key, "term").distinct()
+
+
+def defined_terms(questions: DataFrame, per: str, question: str) -> DataFrame:
+    """per, term of the questions that ask for a definition."""
+    return questions.filter(X.is_definition(question)).select(per, F.explode(F.array(X.key_term(question))).alias("term")).filter("term <> ''")
+
+
+def boosts(sections: DataFrame, key: str, text: str, questions: DataFrame, per: str, question: str) -> DataFrame:
+    """per, key of the (question, section) pairs that earn the definition boost."""
+    asked = defined_terms(questions, per, question)
+    return definitions(sections, key, text, asked).join(asked, "term").select(per, key).distinct()
 
 
 def retrieve(

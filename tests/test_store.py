@@ -100,6 +100,15 @@ def test_retrieve_edges(spark):
     assert [r.section_id for r in batch] == [1, 2]
 
 
+def test_boosts_by_whole_terms(spark):
+    sections = spark.createDataFrame([(1, "The ½relay is round. A gate is means to shut."), (2, "A switch relay is red, a plain relay  IS not."), (3, "the C++ is old; a-b c-d e-f means it"), (4, None)], "section_id long, section_text string")
+    asked = spark.createDataFrame([(1, "What is relay?"), (2, "What is switch relay?"), (3, "define is"), (4, "What is a-b c-d e-f?"), (5, "define a gate"), (6, "What is tower relay?")], "query_id long, query_text string")
+    got = {(r.query_id, r.section_id) for r in R.boosts(sections, "section_id", "section_text", asked, "query_id", "query_text").collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (3, 1), (4, 3), (5, 1)}
+    # only keys of whole terms meet: the last word alone brings no other term
+    assert {k for k, _ in R._before_verbs("a tower relay is high")} == {"relay", "tower relay", "a tower relay"}
+
+
 def test_answers(spark):
     sections = spark.createDataFrame(
         [
