@@ -7,6 +7,8 @@ plugged in as an ``Embedder`` whose ``encode`` maps a list of texts to a matrix.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 DIM = 384
 SEPARATOR = r"[^\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 def tokens(c: Column | str) -> Column:
@@ -43,18 +46,26 @@ def hashed(c: Column | str) -> Column:
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
 
 
+def hashed_buckets(text: str | None, known: dict[str, int]) -> list[int]:
+    """The bucket of every word of a text; ``known`` keeps those of words met before."""
+    ws = _WORD.findall((text or "").lower())
+    try:
+        return [known[w] for w in ws]
+    except KeyError:
+        if len(known) > 500_000:
+            known.clear()
+        for w in ws:
+            if w not in known:
+                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIM
+        return [known[w] for w in ws]
+
+
 def hashed_matrix(texts: list[str | None]) -> np.ndarray:
     """Rows of hashed vectors, as ``sparse`` gives them."""
-    import hashlib
-    import re
-
-    out = np.zeros((len(texts), DIM), np.float64)
-    split, known = re.compile(r"[^\W_]+"), {}
+    out, known = np.zeros((len(texts), DIM), np.float64), {}
     for i, t in enumerate(texts):
-        for w in split.findall((t or "").lower()):
-            if w not in known:
-                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIM
-            out[i, known[w]] += 1
+        for b in hashed_buckets(t, known):
+            out[i, b] += 1
     norms = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 

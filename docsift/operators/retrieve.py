@@ -4,7 +4,8 @@ The order of effects is boost, sort, removal of near-duplicates, threshold,
 top-k.  The threshold is applied before the removal: the row kept of each group
 is its best, so if that fails all fail.
 
-Questions are a stated query set.  They are scored in blocks of at most
+Under the hashed embedder retrieval works on counts of words, see ``hashed``.
+With other encoders questions are a stated query set.  They are scored in blocks of at most
 ``BLOCK`` vectors, which bounds what a task holds of them; each batch of sections
 keeps, per question, the ``k`` best of different fingerprints, so a window over
 these few rows gives the overall result and no question meets all sections in
@@ -27,6 +28,7 @@ from pyspark.sql import Window as W
 
 from docsift.functions import patterns as P
 from docsift.functions import text as X
+from docsift.operators import hashed
 from docsift.operators.embed import cosine, hashed_matrix
 from docsift.reduce import reduced, reducer
 
@@ -151,6 +153,8 @@ def retrieve(
     k: int = P.TOP_K, least: float = P.THRESHOLD, boost: bool = True, dedup: bool = True, encode=hashed_matrix,
 ) -> DataFrame:
     """per, key, score, rank of the k best sections of every question."""
+    if encode is hashed_matrix:
+        return hashed.retrieve(sections, questions, key, text, per, question, k, least, boost, dedup)
     raised = None
     if boost:
         raised = boosts(sections, key, text, questions, per, question).groupBy(key).agg(F.collect_list(per).alias("_boosted"))

@@ -109,6 +109,71 @@ def test_boosts_by_whole_terms(spark):
     assert {k for k, _ in R._before_verbs("a tower relay is high")} == {"relay", "tower relay", "a tower relay"}
 
 
+def _small_store(spark):
+    import random
+
+    rnd = random.Random(3)
+    words = ["relay", "gate", "is", "the", "tower", "means", "pump", "a", "valve", "seal", "mast", "rope"]
+    texts = [" ".join(rnd.choices(words, k=rnd.choice((3, 8, 30)))) for _ in range(300)]
+    texts += texts[:40] + ["pump " * 300 + "valve", "", "..."] + [f"{'mast ' * 25} {w}" for w in words]
+    sections = spark.createDataFrame(list(enumerate(texts, 5)), "section_id long, section_text string")
+    asked = [rnd.choice(("What is ", "define a ", "how does the ")) + " ".join(rnd.choices(words, k=rnd.choice((1, 2)))) + rnd.choice(("", "?")) for _ in range(120)]
+    questions = spark.createDataFrame(list(enumerate([*asked, "???", " ", None, "unknown", "pump " * 300])), "query_id long, query_text string")
+    return sections, questions
+
+
+def _without_driver(monkeypatch):
+    """Questions may not be brought to the driver nor meet every section as a dense vector."""
+
+    def fail(*_):
+        raise AssertionError("questions come to the driver")
+
+    monkeypatch.setattr(R, "_blocks", fail)
+
+
+def test_retrieve_by_counts(spark, monkeypatch):
+    sections, questions = _small_store(spark)
+    want = sorted(map(tuple, R.retrieve(sections, questions, encode=lambda x: E.hashed_matrix(x)).collect()))
+    _without_driver(monkeypatch)
+    got = sorted(map(tuple, R.retrieve(sections, questions).collect()))
+    assert got == want and len({r[0] for r in got}) > 100
+
+
+def test_scan_of_several_blocks(spark, monkeypatch, tmp_path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docsift.operators import hashed as H
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    texts = sorted((" ".join(rnd.choices(words, k=rnd.choice((3, 8, 30)))) for _ in range(400)), key=lambda x: H._length2(H.hashed_buckets(x, {})))
+    monkeypatch.setattr(H, "BLOCK", 64)
+    rows = next(H._section_rows([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array([i // 3 for i in range(400)])], ["k", "t", "fp"])]))
+    rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array([[7] if i % 9 == 0 else None for i in range(400)], pa.list_(pa.int64()))], [*rows.schema.names, "terms"])
+    blocks = list(H._blocks([rows.slice(0, 150), rows.slice(150)]))
+    pq.write_table(pa.Table.from_batches(blocks), tmp_path / "b.parquet")
+    asked = [" ".join(rnd.choices(words, k=n % 5)) for n in range(60)]
+    buckets = sorted({b for x in asked for b in H.hashed_buckets(x, {})})
+    coded = sorted(sorted(buckets.index(b) for b in H.hashed_buckets(x, {})) for x in asked)
+    batch = pa.RecordBatch.from_arrays([pa.array(coded, pa.list_(pa.int32())), pa.array([7] * 60), pa.array([[i] for i in range(60)])], ["words", "term", "ids"])
+    out = [r for b in H._scan([f"file://{tmp_path}/b.parquet"], buckets, 5, 0.25, True)([batch]) for r in b.column(1).to_pylist()]
+    m = E.hashed_matrix(texts)
+    for x, found in zip(coded, out):
+        q = [0.0] * E.DIM
+        for w in x:
+            q[buckets[w]] += 1
+        norm = sum(v * v for v in q) ** 0.5 or 1
+        score = [round(round(float(m[i] @ q) / norm, 9) + 0.1 * (i % 9 == 0), 9) for i in range(400)]
+        best: dict = {}
+        for s, i in sorted((-s, i) for i, s in enumerate(score) if s >= 0.25):
+            best.setdefault(i // 3, (i, -s))
+        assert [(r["k"], r["score"]) for r in found] == list(best.values())[:5]
+    assert len(blocks) == 7
+
+
 def test_answers(spark):
     sections = spark.createDataFrame(
         [
