@@ -139,6 +139,16 @@ def test_retrieve_by_counts(spark, monkeypatch):
     assert got == want and len({r[0] for r in got}) > 100
 
 
+def test_plain_retrieval_by_counts(spark, monkeypatch):
+    sections, questions = _small_store(spark)
+    options = {"k": 5, "least": -2.0, "boost": False, "dedup": False}
+    want = sorted(map(tuple, R.retrieve(sections, questions, encode=lambda x: E.hashed_matrix(x), **options).collect()))
+    _without_driver(monkeypatch)
+    got = sorted(map(tuple, R.retrieve(sections, questions, **options).collect()))
+    # a question without known words has the five smallest keys
+    assert got == want and [r[1] for r in got if r[0] == 120] == [5, 6, 7, 8, 9]
+
+
 def test_scan_of_several_blocks(spark, monkeypatch, tmp_path):
     import random
 
