@@ -5,8 +5,8 @@ number over the product of two lengths.  Sections are written once as blocks of
 counts, ordered by length; tasks hold questions and go through all blocks, adding
 one row of counts per word of a question.  Questions are sorted so that the
 next one begins with words of the last one, whose partial sums are kept.  The k-th
-best score so far is a lower limit for what a block must reach; no score that
-could enter is left out.
+best score so far is a lower limit for what a block, and in it a segment of
+sections of about one length, must reach; no score that could enter is left out.
 
 Sections that can't be told apart by score and fingerprint stand for each other,
 the smallest key (``k`` of them where near-duplicates stay) going first, and
@@ -16,6 +16,7 @@ questions of equal words and term are answered once.
 from __future__ import annotations
 
 import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ from docsift.stage import Stage
 
 #: Sections in a block: a row of counts stays in the cache.
 BLOCK = 16384
+#: Sections in a segment, which is looked into only if its largest sum can be reached by a score that enters.
+SEGMENT = 256
+#: Questions whose sums over a block are compared at once.
+ASKED = 64
 #: Scores are rounded before they are compared, so that ties don't depend on the order of summation.
 DECIMALS = 9
 BOOST = 0.1
@@ -58,10 +63,20 @@ def _length2(buckets: list[int]) -> int:
 def _section_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
     for b in batches:
-        found = [hashed_buckets(t, known) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array([_counts(x) for x in found], pa.binary()), pa.array([_length2(x) for x in found], pa.int64())], ["k", "fp", "counts", "length2"]
-        )
+        texts, counts, length2 = b.column(1).to_pylist(), [], []
+        for begin in range(0, len(texts), 256):
+            found = [hashed_buckets(t, known) for t in texts[begin : begin + 256]]
+            sizes = np.array([len(x) for x in found])
+            if sizes.max() >= 2**_BITS:
+                counts += [_counts(x) for x in found]
+                length2 += [_length2(x) for x in found]
+                continue
+            m = np.bincount(np.repeat(np.arange(len(found)) * DIM, sizes) + np.array([w for x in found for w in x], np.int64), minlength=DIM * len(found)).reshape(-1, DIM)
+            row, at = np.nonzero(m)
+            flat, cuts = ((at << _BITS) + m[row, at]).astype("<u4"), np.searchsorted(row, np.arange(len(found) + 1)).tolist()
+            counts += [flat[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+            length2 += (m * m).sum(1).tolist()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.binary()), pa.array(length2, pa.int64())], ["k", "fp", "counts", "length2"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +114,8 @@ _BLOCK_SCHEMA = "least long, n int, k binary, fp binary, length2 binary, counts
 
 def _sections(sections: DataFrame, key: str, text: str, asked: DataFrame | None, stage: Stage, k: int, dedup: bool) -> DataFrame:
     """The written blocks of all sections; ``asked``: key, term (as a number) of what sections define."""
-    rows = sections.select(F.col(key).cast("long").alias("k"), F.col(text), F.xxhash64(X.fingerprint(text)).alias("fp")).filter("k is not null")
+    fp = F.xxhash64(X.fingerprint(text)) if dedup else F.lit(0).cast("long")  # without removal nobody reads it
+    rows = sections.select(F.col(key).cast("long").alias("k"), F.col(text), fp.alias("fp")).filter("k is not null")
     rows = rows.mapInArrow(_section_rows, "k long, fp long, counts binary, length2 long")
     if asked is not None:
         rows = rows.join(asked.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_set("term")).alias("terms")), "k", "left")
@@ -182,6 +198,22 @@ def _best(score: np.ndarray, keys: np.ndarray, group: np.ndarray, k: int) -> np.
     return np.array(first(np.arange(len(score))), np.int64)
 
 
+def _enter(best: list[tuple[float, int, int]], score: list[float], keys: list[int], group: list[int], k: int) -> None:
+    """Enter sections into the sorted k best of different groups; equal scores go by key."""
+    for s, c, g in zip(score, keys, group):
+        x = (-s, c, g)
+        if len(best) == k and x >= best[-1]:
+            continue
+        at = next((j for j, y in enumerate(best) if y[2] == g), -1)
+        if at >= 0:
+            if best[at] <= x:
+                continue
+            del best[at]
+        elif len(best) == k:
+            del best[-1]
+        insort(best, x)
+
+
 def _scan(files: list[str], buckets: list[int], k: int, least: float | None, dedup: bool):
     floor = -math.inf if least is None else least
 
@@ -207,10 +239,10 @@ def _scan(files: list[str], buckets: list[int], k: int, least: float | None, ded
         length = np.array([math.sqrt(_length2(x)) or 1.0 for x in words])
         term = np.array([t if t is not None else 0 for t in asked], np.int64)
         has_term = np.array([t is not None for t in asked])
-        limit = np.full(n, floor)  # what a score must reach
-        edge = np.full(n, -1, np.int64)  # the largest key of those that have just the limit, once k are found
-        empty = np.zeros(0)
-        state = [(empty, np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
+        limit = np.full(n, floor)  # what a score must reach; the k-th best once there are k
+        full = np.zeros(n, bool)
+        state: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
+        largest = np.maximum.reduce
         longest, deepest = float(length.max()), max(map(len, words))
         for block in _read(files):
             size = block["n"]
@@ -221,59 +253,84 @@ def _scan(files: list[str], buckets: list[int], k: int, least: float | None, ded
             norms[norms == 0] = 1
             kind = np.uint8 if reach < 2**8 else np.uint16 if reach < 2**16 else np.int64
             m = np.frombuffer(block["counts"], "<u1" if len(block["counts"]) == DIM * size else "<u4").reshape(DIM, size)
-            # one row per word by frequency; lengths bound every sum, so nothing overflows
-            m = m[order].astype(kind)
-            shortest = float(norms.min())
+            # one row per word by frequency, filled up to whole segments; lengths bound every sum, so nothing overflows
+            width = -(-size // SEGMENT) * SEGMENT
+            m, whole = np.zeros((len(order), width), kind), m
+            m[:, :size] = whole[order]
+            parts = np.pad(norms, (0, width - size), "edge").reshape(-1, SEGMENT)
+            low, high = parts.min(1), parts.max(1)
             # no section of the block exceeds the sum of the largest counts
             peak = np.add.reduceat(np.append(m.max(1).astype(np.int64)[flat[:-1]], 0), np.minimum(starts[:-1], len(flat) - 1))
             peak[starts[1:] == starts[:-1]] = 0
-            need = np.where(np.isfinite(limit), np.ceil((limit - 1e-8) * length * shortest), -1)
+            need = np.where(np.isfinite(limit), np.ceil((limit - 1e-8) * length * float(norms.min())), -1)
             places, told = np.frombuffer(block["place"], "<i4"), np.frombuffer(block["term"], "<i8")
             lo, hi = np.searchsorted(told, term, "left"), np.where(has_term, np.searchsorted(told, term, "right"), 0)
             raised = hi > lo
             rows = list(m)
-            sums = [np.zeros(size, kind), *(np.empty(size, kind) for _ in range(deepest))]
-            at = list(sums)
-            have = 0
+            sums = [np.zeros(width, kind), *(np.empty(width, kind) for _ in range(deepest))]
+            whole = np.empty((ASKED, width), kind)
             last = 0
-            for i in np.flatnonzero((peak >= need) | raised).tolist():
-                if i != last:
-                    have = min(have, min(shared[last + 1 : i + 1]))
-                    last = i
-                x = words[i]
-                for j in range(have, len(x)):
-                    if j:
-                        np.add(at[j], rows[x[j]], out=sums[j + 1])
-                        at[j + 1] = sums[j + 1]
+            todo = np.flatnonzero((peak >= need) | raised)
+            for begin in range(0, len(todo), ASKED):
+                some = todo[begin : begin + ASKED]
+                have = 0
+                at = list(sums)
+                for i, out in zip(some.tolist(), whole):
+                    if i != last:
+                        have = min(have, shared[i] if i == last + 1 else min(shared[last + 1 : i + 1]))
+                        last = i
+                    x = words[i]
+                    end = len(x) - 1
+                    for j in range(have, end):
+                        if j:
+                            at[j + 1] = np.add(at[j], rows[x[j]], out=sums[j + 1])
+                        else:
+                            at[1] = rows[x[0]]
+                    if have > end:
+                        out[:] = at[end + 1]
                     else:
-                        at[1] = rows[x[0]]
-                have = len(x)
-                dot, t = at[have], max(0, int(need[i]))
-                new = None
-                if dot.max() >= t:
-                    new = np.flatnonzero(dot >= t)
-                    score = np.round(dot[new] / (length[i] * norms[new]), DECIMALS)
-                if raised[i]:
+                        at[end + 1] = np.add(at[end], rows[x[end]], out=out)
+                    have = end + 1
+                dots = whole[: len(some)]
+                cells = dots.reshape(len(some), -1, SEGMENT)
+                tops = largest(cells, axis=2)
+                reach = limit[some]
+                few = np.flatnonzero(~full[some])
+                if len(few) and k <= len(low) and not dedup:
+                    # so many segments hold a section with this score each
+                    reach[few] = np.maximum(reach[few], np.partition(tops[few] / high, len(low) - k, axis=1)[:, len(low) - k] / length[some[few]])
+                least_dots = ((reach - 1e-8) * length[some])[:, None] * low
+                who, segment = np.nonzero(tops >= least_dots)
+                row, place = np.nonzero(cells[who, segment] >= least_dots[who, segment][:, None])
+                who, new = who[row], segment[row] * SEGMENT + place
+                if width > size:
+                    who, new = who[new < size], new[new < size]
+                score = np.round(dots[who, new] / (length[some[who]] * norms[new]), DECIMALS)
+                for w in np.flatnonzero(raised[some]).tolist():
+                    i = some[w]
                     more = places[lo[i] : hi[i]]
-                    higher = np.round(np.round(dot[more] / (length[i] * norms[more]), DECIMALS) + BOOST, DECIMALS)
-                    new, score = (more, higher) if new is None else (np.concatenate([new, more]), np.concatenate([score, higher]))
-                if new is None:
-                    continue
-                ok = (score > limit[i]) | ((score == limit[i]) & ((keys[new] < edge[i]) if edge[i] >= 0 else True))
-                if not ok.any():
-                    continue
-                new, score = new[ok], score[ok]
-                s, c, g = state[i]
-                s, c, g = np.concatenate([s, score]), np.concatenate([c, keys[new]]), np.concatenate([g, group[new]])
-                best = _best(s, c, g, k)
-                state[i] = s[best], c[best], g[best]
-                if len(best) == k:
-                    limit[i], edge[i] = s[best[-1]], c[best[-1]]
+                    higher = np.round(np.round(dots[w, more] / (length[i] * norms[more]), DECIMALS) + BOOST, DECIMALS)
+                    before = np.searchsorted(who, w)
+                    who, new, score = np.insert(who, before, np.full(len(more), w)), np.insert(new, before, more), np.insert(score, before, higher)
+                ok = score >= limit[some[who]]
+                who, new, score = who[ok], new[ok], score[ok]
+                cuts = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)] if len(who) else []
+                scores, found, groups = score.tolist(), keys[new].tolist(), group[new].tolist()
+                for a, z in zip(cuts, cuts[1:]):
+                    i = int(some[who[a]])
+                    best = state[i]
+                    if z - a > 8 * k:
+                        enter = (a + _best(score[a:z], keys[new[a:z]], group[new[a:z]], k)).tolist()
+                        _enter(best, [scores[e] for e in enter], [found[e] for e in enter], [groups[e] for e in enter], k)
+                    else:
+                        _enter(best, scores[a:z], found[a:z], groups[a:z], k)
+                    if len(best) == k:
+                        full[i], limit[i] = True, -best[-1][0]
         chunks = pa.chunked_array(ids).combine_chunks()
         for a in range(0, n, 1024):
             part = state[a : a + 1024]
-            offsets = np.cumsum([0] + [len(s) for s, _, _ in part]).astype(np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(np.concatenate([c for _, c, _ in part])), pa.array(np.concatenate([s for s, _, _ in part]))], ["k", "score"])
+            offsets = np.cumsum([0] + [len(x) for x in part]).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array([c for x in part for _, c, _ in x], pa.int64()), pa.array([-s for x in part for s, _, _ in x], pa.float64())], ["k", "score"])
             yield pa.RecordBatch.from_arrays([chunks.slice(a, len(part)), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["ids", "found"])
 
     return run

@@ -184,6 +184,36 @@ def test_scan_of_several_blocks(spark, monkeypatch, tmp_path):
     assert len(blocks) == 7
 
 
+def test_plain_scan_looks_into_few_sections(monkeypatch, tmp_path):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docsift.operators import hashed as H
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    texts = sorted((" ".join(rnd.choices(words, k=rnd.choice((5, 20, 60)))) for _ in range(3000)), key=lambda x: H._length2(H.hashed_buckets(x, {})))
+    rows = next(H._section_rows([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts), pa.array([0] * 3000)], ["k", "t", "fp"])]))
+    rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array([None] * 3000, pa.list_(pa.int64()))], [*rows.schema.names, "terms"])
+    pq.write_table(pa.Table.from_batches(H._blocks([rows])), tmp_path / "b.parquet")
+    asked = [" ".join(rnd.choices(words, k=4)) for _ in range(100)]
+    buckets = sorted({b for x in asked for b in H.hashed_buckets(x, {})})
+    coded = sorted((sorted(buckets.index(b) for b in H.hashed_buckets(x, {})), x) for x in asked)
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in coded], pa.list_(pa.int32())), pa.array([None] * 100, pa.int64()), pa.array([[i] for i in range(100)])], ["words", "term", "ids"])
+    sizes = [0]
+    best = H._best
+    monkeypatch.setattr(H, "_best", lambda score, *rest: sizes.append(len(score)) or best(score, *rest))
+    out = [r for b in H._scan([f"file://{tmp_path}/b.parquet"], buckets, 5, -2.0, False)([batch]) for r in b.column(1).to_pylist()]
+    m, q = E.hashed_matrix(texts), E.hashed_matrix([x for _, x in coded])
+    for scores, found in zip(np.round(q @ m.T, 9), out):
+        assert [r["k"] for r in found] == np.lexsort((np.arange(3000), -scores))[:5].tolist()
+    # no threshold and no limit yet: still not all sections of the first block are ranked for each question
+    assert max(sizes) < 1000
+
+
 def test_answers(spark):
     sections = spark.createDataFrame(
         [
