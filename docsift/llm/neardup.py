@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.words import WORD, by_batch
-from docsift.reduce import reduced, reducer
+from docsift.reduce import divided, reduced, reducer
 from docsift.stage import Stage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -216,7 +216,7 @@ def _gather(rows: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
-    """a, b (a < b): pairs of representatives that some bucket brought together. reps: a written table of sketched rows."""
+    """a, b (a < b): pairs of representatives that some bucket brought together. reps: sketched rows read off written tables."""
     used, out = 0, None
     need = roots(similarity, 1)
     while used < need:
@@ -227,17 +227,26 @@ def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
 
 
 def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int) -> tuple[DataFrame, int]:
-    """Pairs by the first tokens from ``begin`` to ``end``, and how often buckets were split."""
+    """Pairs by the first tokens from ``begin`` to ``end``, and how often buckets were split.
+
+    Rows and pairs of every level are written before the next, so that no plan holds
+    more than one level and no level is computed again for those below it.
+    """
     first = F.slice("tokens", SPLITS + begin + 1, end - begin)
     rows = reps.select("k", "n", "lo", "hi", F.posexplode(first).alias("r", "token")).select(F.xxhash64(F.col("r") + begin, "token").alias("path"), "k", "n", "lo", "hi")
-    out = None
+    out, above = None, []
     for level in range(DEPTH + 1):
+        if level:
+            rows = stage.save(rows, f"rows{level}")
+        for done in above:
+            stage.drop(done)
         counts = stage.save(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{level}")
-        found = _gather(rows, counts.filter(F.col("size") <= BUCKET), similarity)
+        above = [rows, counts]
+        found = stage.save(_gather(rows, counts.filter(F.col("size") <= BUCKET), similarity), f"pairs{level}")
         out = found if out is None else out.union(found)
         large = counts.filter(F.col("size") > BUCKET).select("path", "size")
         if large.isEmpty():
-            return out, level
+            break
         inside = reduced(rows, "path", reducer(large, "path")).join(large, "path")
         if level == DEPTH:
             # blocks of a bucket, each met with each: every row goes to the cells of its block's row and column
@@ -245,11 +254,15 @@ def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int)
             own = F.pmod(F.xxhash64("k", "path"), blocks.cast("long")).cast("int")
             cell = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
             spread = inside.select("k", "n", "lo", "hi", "path", F.explode(cell).alias("c")).select(F.xxhash64("path", "c.i", "c.j").alias("path"), "k", "n", "lo", "hi")
-            return out.union(_gather(spread, spread.select("path").distinct(), similarity)), level
+            out = out.union(stage.save(_gather(spread, spread.select("path").distinct(), similarity), "blocks"))
+            break
         tokens = reps.select(F.col("k").alias("id"), F.slice("tokens", 1, SPLITS).alias("tokens"))
         pick = [F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(SPLITS)).cast("int") for j in range(2)]
         chosen = F.explode(F.array(*[F.struct(p.alias("c"), F.element_at("tokens", p + 1).alias("token")) for p in pick]))
         rows = inside.join(tokens, F.col("k") == F.col("id")).select("path", "k", "n", "lo", "hi", chosen.alias("x")).select(F.xxhash64("path", "x.c", "x.token").alias("path"), "k", "n", "lo", "hi")
+    for done in above:
+        stage.drop(done)
+    return out, level
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
@@ -273,8 +286,12 @@ def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: flo
     """(pairs, members): verified pairs (a, b, similarity) of representatives, and k, rep, copies of every record."""
     stage = Stage(df.sparkSession, "neardup")
     rows = stage.save(sketched(df, key, text, n, min_words, SPLITS + roots(similarity, DEPTH)), "sketched")
+    # sketches are long: only those of classes that may have several rows are shuffled and written again
+    repeated = rows.groupBy("cls").agg(F.count("*").alias("rows")).filter("rows > 1")
+    some, others = divided(rows, "cls", stage.save(reducer(repeated, "cls"), "repeated"))
     head = F.min(F.struct("k", "n", "tokens", "lo", "hi")).alias("r")
-    reps = stage.save(rows.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several")), "reps")
+    heads = some.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several"))
+    reps = stage.save(heads, "heads").unionByName(others.withColumn("several", F.lit(False)))
     found = stage.save(candidates(reps, stage, similarity), "candidates")
     wanted = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     sets = stage.save(_sets(df, wanted, key, text, n, min_words), "sets")

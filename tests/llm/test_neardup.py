@@ -70,3 +70,16 @@ def test_recall_of_the_tokens():
                     live = np.repeat(live, 2, 1) & np.take_along_axis(split, picks, 1)
                 kept |= live.any(1) & (rng.random(trials) < similarity)
             assert kept.mean() >= N.RECALL - 0.003 and N.missed(similarity, first, depth) <= 1 - N.RECALL
+
+
+def test_levels_are_written(spark, monkeypatch):
+    """No plan holds several levels of splits: pairs are read off written tables."""
+    from docsift.stage import Stage
+
+    monkeypatch.setattr(N, "BUCKET", 4)
+    monkeypatch.setattr(N, "DEPTH", 2)
+    df = spark.createDataFrame(list(enumerate(_texts(1, 100))), "section_id long, section_text string")
+    stage = Stage(spark, "test")
+    reps = stage.save(N.sketched(df, "section_id", "section_text", 3, 20, N.SPLITS + N.roots(0.6, 2)), "reps")
+    out, depth = N._run(reps, stage, 0.6, 0, N.roots(0.6, 1))[:2]
+    assert depth == 2 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
