@@ -9,9 +9,10 @@ sketches; a larger one is split again on further sampled tokens, two per level.
 Every pair that the sketches let pass is verified on the full sets.
 
 Each split may lose a pair, so the number of first tokens follows from the
-target recall and the depth that splitting really reached: a run with the tokens
-for one level is repeated with further ones while the deepest level asks for
-them.  Tokens of splits are drawn from ``SPLITS`` hash functions of their own;
+target recall and the depth that splitting really reached: after a run with the
+tokens for one level, sets that may still be missed, by the splits of their own
+buckets, meet each other on further tokens.  A pair leaves when either set does,
+so each set may miss half of what the recall allows.  Tokens of splits are drawn from ``SPLITS`` hash functions of their own;
 that a pair may agree on few of these is part of the computation.
 
 A bucket that is still too large after ``DEPTH`` splits holds sets that agree on
@@ -29,6 +30,7 @@ text columns are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +45,8 @@ from docsift.stage import Stage
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.998
+#: What each set of a pair has to reach for that recall.
+EACH = 1 - (1 - RECALL) / 2
 BUCKET, DEPTH, EXPAND = 1000, 6, 64
 #: Hash functions for the tokens of splits and, one bit each, for the sketch.
 SPLITS, BITS = 16, 128
@@ -109,15 +113,20 @@ def signatures(sets: list[np.ndarray], paths: int) -> tuple[np.ndarray, np.ndarr
 
 def missed(similarity: float, first: int, depth: int) -> float:
     """Chance that a pair is in no common bucket: ``first`` tokens, each followed by ``depth`` splits on two tokens."""
-    out = 0.0
-    for agree in range(SPLITS + 1):
-        share = agree / SPLITS
-        below = 1.0
-        for _ in range(depth):
-            below = 1 - (1 - share * below) ** 2
-        weight = math.comb(SPLITS, agree) * similarity**agree * (1 - similarity) ** (SPLITS - agree)
-        out += weight * (1 - similarity * below) ** first
-    return out
+    return float(_weights(similarity) @ _apart(similarity, depth) ** first)
+
+
+def _weights(similarity: float) -> np.ndarray:
+    """Chances that a pair agrees on 0 to SPLITS of the hash functions for splits."""
+    return np.array([math.comb(SPLITS, n) * similarity**n * (1 - similarity) ** (SPLITS - n) for n in range(SPLITS + 1)])
+
+
+def _apart(similarity: float, depth: int) -> np.ndarray:
+    """Chances that one first token and ``depth`` splits bring a pair into no common bucket, by the hash functions agreed on."""
+    share, below = np.arange(SPLITS + 1) / SPLITS, np.ones(SPLITS + 1)
+    for _ in range(depth):
+        below = 1 - (1 - share * below) ** 2
+    return 1 - similarity * below
 
 
 @lru_cache
@@ -129,6 +138,11 @@ def roots(similarity: float, depth: int, recall: float = RECALL) -> int:
     return n
 
 
+def tokens_at_first(similarity: float) -> int:
+    """First tokens of every set; only sets whose buckets were split too often get more."""
+    return max(roots(similarity, 1), roots(similarity, 0, EACH))
+
+
 def _least_agreement(similarity: float) -> int:
     """Sketch bits that agree at least, four standard deviations under the expectation at the threshold."""
     p = (1 + similarity) / 2
@@ -215,29 +229,58 @@ def _gather(rows: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
     return _bucket_pairs(buckets, similarity)
 
 
-def candidates(reps: DataFrame, stage: Stage, similarity: float) -> DataFrame:
-    """a, b (a < b): pairs of representatives that some bucket brought together. reps: sketched rows read off written tables."""
-    used, out = 0, None
-    need = roots(similarity, 1)
+def candidates(reps: DataFrame, stage: Stage, similarity: float, again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """a, b (a < b): pairs of representatives that some bucket brought together. reps: sketched rows with ``tokens_at_first``; again: sketched rows of some keys with so many tokens."""
+    used, need = 0, tokens_at_first(similarity)
+    rows, out, splits, unsure, deepest = reps, None, None, None, 0
     while used < need:
-        found, depth = _run(reps, stage, similarity, used, need)
+        found, depth, deep = _run(rows, stage, similarity, used, need)
         out = found if out is None else out.union(found)
-        used, need = need, roots(similarity, depth)
+        deepest = max(deepest, depth)
+        used, need = need, roots(similarity, deepest, EACH)
+        if deep is None or used >= need:
+            break
+        splits = deep if splits is None else splits.union(deep)
+        still = _unsure(splits, similarity, used)
+        unsure = stage.save(still if unsure is None else still.join(unsure, "k", "left_semi"), "unsure")
+        if unsure.isEmpty():
+            break
+        rows = stage.save(again(unsure, SPLITS + need), "again")
     return out.distinct()
 
 
-def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int) -> tuple[DataFrame, int]:
-    """Pairs by the first tokens from ``begin`` to ``end``, and how often buckets were split.
+def _unsure(splits: DataFrame, similarity: float, used: int) -> DataFrame:
+    """k of the sets that may miss more than their part; splits: k, r (first token), depth of its splits, of which the deepest counts."""
+    depths = splits.groupBy("k", "r").agg(F.max("depth").alias("depth")).groupBy("k").agg(F.collect_list("depth").alias("depths"))
+    weights, apart = _weights(similarity), np.stack([_apart(similarity, d) for d in range(DEPTH + 1)])
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [np.bincount(x, minlength=len(apart)) for x in batch.column(1).to_pylist()]
+            n = np.array(rows, np.int64).reshape(-1, len(apart))
+            n[:, 0] = used - n.sum(1)
+            miss = np.exp(n @ np.log(apart)) @ weights
+            return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(miss > 1 - EACH))], ["k"])
+
+        return run
+
+    return by_batch(depths, make, "k long")
+
+
+def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Pairs by the first tokens from ``begin`` to ``end``, how often buckets were split, and k, r, depth of what was split.
 
     Rows and pairs of every level are written before the next, so that no plan holds
     more than one level and no level is computed again for those below it.
     """
     first = F.slice("tokens", SPLITS + begin + 1, end - begin)
-    rows = reps.select("k", "n", "lo", "hi", F.posexplode(first).alias("r", "token")).select(F.xxhash64(F.col("r") + begin, "token").alias("path"), "k", "n", "lo", "hi")
-    out, above = None, []
+    rows = reps.select("k", "n", "lo", "hi", F.posexplode(first).alias("r", "token")).select(F.xxhash64(F.col("r") + begin, "token").alias("path"), "k", "n", "lo", "hi", (F.col("r") + begin).alias("r"))
+    out, deep, above = None, None, []
     for level in range(DEPTH + 1):
         if level:
             rows = stage.save(rows, f"rows{level}")
+            split = stage.save(rows.select("k", "r").distinct().withColumn("depth", F.lit(level)), f"split{level}")
+            deep = split if deep is None else deep.union(split)
         for done in above:
             stage.drop(done)
         counts = stage.save(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{level}")
@@ -259,10 +302,10 @@ def _run(reps: DataFrame, stage: Stage, similarity: float, begin: int, end: int)
         tokens = reps.select(F.col("k").alias("id"), F.slice("tokens", 1, SPLITS).alias("tokens"))
         pick = [F.pmod(F.xxhash64("path", F.lit(level), F.lit(j)), F.lit(SPLITS)).cast("int") for j in range(2)]
         chosen = F.explode(F.array(*[F.struct(p.alias("c"), F.element_at("tokens", p + 1).alias("token")) for p in pick]))
-        rows = inside.join(tokens, F.col("k") == F.col("id")).select("path", "k", "n", "lo", "hi", chosen.alias("x")).select(F.xxhash64("path", "x.c", "x.token").alias("path"), "k", "n", "lo", "hi")
+        rows = inside.join(tokens, F.col("k") == F.col("id")).select("path", "k", "n", "lo", "hi", "r", chosen.alias("x")).select(F.xxhash64("path", "x.c", "x.token").alias("path"), "k", "n", "lo", "hi", "r")
     for done in above:
         stage.drop(done)
-    return out, level
+    return out, level, deep
 
 
 def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_words: int) -> DataFrame:
@@ -285,14 +328,19 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, min_wor
 def joined(df: DataFrame, key: str, text: str, n: int = SHINGLE, similarity: float = SIMILARITY, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): verified pairs (a, b, similarity) of representatives, and k, rep, copies of every record."""
     stage = Stage(df.sparkSession, "neardup")
-    rows = stage.save(sketched(df, key, text, n, min_words, SPLITS + roots(similarity, DEPTH)), "sketched")
+    rows = stage.save(sketched(df, key, text, n, min_words, SPLITS + tokens_at_first(similarity)), "sketched")
     # sketches are long: only those of classes that may have several rows are shuffled and written again
     repeated = rows.groupBy("cls").agg(F.count("*").alias("rows")).filter("rows > 1")
     some, others = divided(rows, "cls", stage.save(reducer(repeated, "cls"), "repeated"))
     head = F.min(F.struct("k", "n", "tokens", "lo", "hi")).alias("r")
     heads = some.groupBy("cls").agg(head, F.max("k").alias("last")).select("cls", "r.*", (F.col("last") > F.col("r.k")).alias("several"))
     reps = stage.save(heads, "heads").unionByName(others.withColumn("several", F.lit(False)))
-    found = stage.save(candidates(reps, stage, similarity), "candidates")
+
+    def again(keys: DataFrame, paths: int) -> DataFrame:
+        texts = reduced(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), "k", reducer(keys, "k")).join(keys, "k", "left_semi")
+        return sketched(texts, "k", "t", n, min_words, paths).dropDuplicates(["k"])
+
+    found = stage.save(candidates(reps, stage, similarity, again), "candidates")
     wanted = found.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     sets = stage.save(_sets(df, wanted, key, text, n, min_words), "sets")
     both = found.join(sets.withColumnsRenamed({"k": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"k": "b", "s": "sb"}), "b")

@@ -83,3 +83,30 @@ def test_levels_are_written(spark, monkeypatch):
     reps = stage.save(N.sketched(df, "section_id", "section_text", 3, 20, N.SPLITS + N.roots(0.6, 2)), "reps")
     out, depth = N._run(reps, stage, 0.6, 0, N.roots(0.6, 1))[:2]
     assert depth == 2 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_further_tokens_only_where_needed(spark, monkeypatch):
+    from docsift.stage import Stage
+
+    monkeypatch.setattr(N, "BUCKET", 4)
+    monkeypatch.setattr(N, "DEPTH", 2)
+    texts, saved = _texts(1, 60), {}
+    base = texts[0].split()
+    texts += [" ".join([*base, f"x{i}", f"y{i}"]) for i in range(12)] + [f"a{i} " * 4 + " ".join(f"b{i}c{j}" for j in range(20)) for i in range(40)]
+    save = Stage.save
+
+    def keep(self, df, label="t"):
+        saved[label] = save(self, df, label)
+        if label in ("again", "sketched"):
+            saved[label + " rows"] = saved[label].select("k", "tokens").collect()
+        return saved[label]
+
+    monkeypatch.setattr(Stage, "save", keep)
+    df = spark.createDataFrame(list(enumerate(texts)), "section_id long, section_text string")
+    got = {tuple(r) for r in N.found(df).collect()}
+    want = _brute(texts, 3, 0.6, 20)
+    assert got <= want and len(got) >= 0.98 * len(want)
+    first, again = saved["sketched rows"], saved["again rows"]
+    assert {len(r.tokens) for r in first} == {N.SPLITS + N.tokens_at_first(0.6)} and len({len(r.tokens) for r in again}) == 1
+    # copies of one text share all their buckets, others none
+    assert set(range(60, 72)) <= {r.k for r in again} and not {r.k for r in again} & set(range(72, 112)) and len(again[0].tokens) > len(first[0].tokens)
